@@ -163,10 +163,11 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: i
         yield [(r["item"], r["text"]) for r in part.collect()]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns ``keep`` of docs (default: all), then SCHEMA's; a kept column of the same name gives way."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
+    """The columns ``keep`` of docs (default: all), then SCHEMA's, named with the prefix; a kept column of the same name gives way."""
     spark = docs.sparkSession
-    own = {x.split()[0] for x in SCHEMA.split(", ")}
+    schema = ", ".join(f"{prefix}{x}" for x in SCHEMA.split(", "))
+    own = {x.split()[0] for x in schema.split(", ")}
     keep = [c for c in (keep or docs.columns) if c not in own]
     fields = [f for f in docs.schema.fields if f.name in keep]
     keep = [f.name for f in fields]
@@ -181,13 +182,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 out = [_result(*x) for x in _scan(batch, len(keep), block.value)]
                 if out:
                     cols = [pa.array(c, k) for c, k in zip(zip(*out), [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()])]
-                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=[*keep, *(x.split()[0] for x in SCHEMA.split(", "))])
+                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=[*keep, *(x.split()[0] for x in schema.split(", "))])
 
-        return rows.mapInArrow(run, f"{kept_schema}, {SCHEMA}")
-    return _many(rows, keep, kept_schema, blocks)
+        return rows.mapInArrow(run, f"{kept_schema}, {schema}")
+    return _many(rows, keep, blocks).select(*[F.col(f"`{c}`") for c in keep], *[F.col("__" + x.split()[0]).alias(prefix + x.split()[0]) for x in SCHEMA.split(", ")])
 
 
-def _many(rows: DataFrame, keep: list[str], kept_schema: str, blocks: list) -> DataFrame:
+def _many(rows: DataFrame, keep: list[str], blocks: list) -> DataFrame:
     """Each block against all documents; hits come together by document (a digest of the row), at most one row a block."""
     spark = rows.sparkSession
     key = F.sha2(F.concat(*[F.coalesce(F.concat(F.lit("+"), F.to_json(F.struct(F.col(f"`{c}`")))), F.lit("-")) for c in [*keep, "__text"]]), 256)
@@ -208,9 +209,9 @@ def _many(rows: DataFrame, keep: list[str], kept_schema: str, blocks: list) -> D
     def merge(pdf):
         spans = [(a, b) for s, e in zip(pdf.s, pdf.e) for a, b in zip(s, e)]
         n, hit, items, sha, bad = _result(int(pdf.n.iloc[0]), *map(np.array, _union(spans)), [x for i in pdf.i for x in i])
-        return type(pdf)({"__key": [pdf["__key"].iloc[0]], "n_words": [n], "n_hit": [hit], "n_items": [items], "items_sha256": [sha], "contaminated": [bad]})
+        return type(pdf)({"__key": [pdf["__key"].iloc[0]], "__n_words": [n], "__n_hit": [hit], "__n_items": [items], "__items_sha256": [sha], "__contaminated": [bad]})
 
-    merged = hits.groupBy("__key").applyInPandas(merge, f"__key string, {SCHEMA}")
+    merged = hits.groupBy("__key").applyInPandas(merge, ", ".join(["__key string", *(f"__{x}" for x in SCHEMA.split(", "))]))
     return rows.drop("__text").join(merged, "__key").drop("__key")
 
 
