@@ -1,6 +1,7 @@
-"""All queries of the library, by SURVEY id."""
+"""All queries of the library, by inventory id; the first is the flagship."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from riskloom.plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
