@@ -7,13 +7,14 @@ PERCENT / 100; a group is a connected component of links.
 1. One pass over the texts: set size, digest of the set, minima under BANDS * ROWS universal hashes, one key a band.
 2. Documents with equal sets become one node, so copies cost nothing further.
 3. Nodes of a bucket (band and key) are compared with the bucket's least node: a star, not all pairs.  Signatures are
-   compared first (a pair is let go only six standard errors below the threshold), then the full sets.
+   compared first, then the full sets.
 4. Components of the verified links.  Then, in the buckets that still hold nodes of different components, every pair
-   across components is verified too, and components are formed again.  Only pairs already connected stay uncompared,
-   so no link between candidates is lost.
+   across components is compared too, in blocks of at most BLOCK nodes: signatures within a task, which lists only the
+   pairs that pass, then the full sets of those; and components are formed again.  Only pairs already connected stay
+   uncompared, so no link between candidates is lost.
 
-At the threshold a pair shares no band with probability (1 - 0.75**4)**28 < 3e-5, and less above it.  Sets are compared by 48 bits of
-each shingle's hash.
+At the threshold a pair shares no band with probability (1 - 0.75**4)**28 < 3e-5, and its signature of SIGNATURE minima, 8 bits of
+each, falls below LEAST with probability 4e-5; both less above it.  Sets are compared by 48 bits of each shingle's hash.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and are kept; a row with a null id
 links with nothing, has a null component and is kept; rows of equal ids are one node; other columns are ignored.
@@ -33,8 +34,10 @@ from . import store, text
 from .components import components
 
 SHINGLE, PERCENT, BANDS, ROWS, SEED = 5, 75, 28, 4, 11
-#: Members of a star that one task compares with its head at a time; estimate below which a pair is let go.
-STAR, LEAST = 64, 0.5
+#: Members of a star that one task compares with its head at a time; nodes of one side in a block of a bucket.
+STAR, BLOCK = 64, 512
+#: Minima of the signature, and the share of equal ones below which a pair is let go (four standard errors below the threshold).
+SIGNATURE, LEAST = 512, 0.675
 WIDTH = 6
 U = np.uint64
 
@@ -50,7 +53,7 @@ def _sets(batch: pa.RecordBatch, column: int, shingle: int) -> Iterator[tuple[np
 
 def _minima(s: np.ndarray, to: np.ndarray, count: int) -> np.ndarray:
     """(rows with shingles, count) least hashes, 32 bits each."""
-    a, b = text.seeds(count, SEED)
+    a, b = text.seeds(max(SIGNATURE, count), SEED)
     starts = to[:-1][np.diff(to) > 0]
     out = np.empty((len(starts), count), np.uint32)
     if len(starts):
@@ -97,20 +100,22 @@ def profile(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE,
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, d1 long, d2 long, keys array<long>")
 
 
-def _full(rows: DataFrame, shingle: int, count: int) -> DataFrame:
-    """(id, text) as (node, sig, shingles)."""
+def _full(rows: DataFrame, shingle: int, bands: int, each: int) -> DataFrame:
+    """(id, text) as (node, keys, sig, shingles): 32 bits of each band key, signature, set."""
 
     def run(batches):
         for batch in batches:
             at = 0
             for s, to in _sets(batch, 1, shingle):
                 n = np.diff(to)
-                m, sig = _minima(s, to, count), np.zeros((len(n), count), np.uint32)
-                sig[n > 0] = m
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([_pack(s[to[r] : to[r + 1]]) for r in range(len(n))], pa.binary())], names=["node", "sig", "shingles"])
+                m = _minima(s, to, max(SIGNATURE, bands * each))
+                sig, keys = np.zeros((len(n), SIGNATURE), np.uint8), np.zeros((len(n), bands), np.uint32)
+                sig[n > 0] = m[:, :SIGNATURE]
+                keys[n > 0] = _band_keys(m[:, : bands * each], bands)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), *(pa.array([x.tobytes() for x in v], pa.binary()) for v in (keys, sig)), pa.array([_pack(s[to[r] : to[r + 1]]) for r in range(len(n))], pa.binary())], names=["node", "keys", "sig", "shingles"])
                 at += len(n)
 
-    return rows.mapInArrow(run, "node long, sig binary, shingles binary")
+    return rows.mapInArrow(run, "node long, keys binary, sig binary, shingles binary")
 
 
 def verify(pairs: DataFrame, full: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -129,8 +134,8 @@ def verify(pairs: DataFrame, full: DataFrame, percent: int = PERCENT) -> DataFra
             out = []
             for b, block, part, node, s, x in zip(*(c.to_pylist() for c in batch.columns)):
                 if part == 0:
-                    head, sig, own = (b, block), np.frombuffer(s, np.uint32), _unpack(x)
-                elif head == (b, block) and (sig == np.frombuffer(s, np.uint32)).mean() >= LEAST:
+                    head, sig, own = (b, block), np.frombuffer(s, np.uint8), _unpack(x)
+                elif head == (b, block) and (sig == np.frombuffer(s, np.uint8)).mean() >= LEAST:
                     other = _unpack(x)
                     small, large = sorted((own, other), key=len)
                     at = np.searchsorted(large, small)
@@ -160,12 +165,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     store.drop(heads)
     seen = store.put(buckets.select("node").distinct(), "seen")
     wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(seen, F.col("id") == F.col("node"), "left_semi")
-    full = store.put(_full(wanted, shingle, bands * rows), "full")
+    full = store.put(_full(wanted, shingle, bands, rows), "full")
     store.drop(seen)
 
     links = verify(buckets.where(F.col("node") != F.col("head")).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), full, percent)
     groups = store.put(components(links, "a", "b"), "groups")
-    more = verify(_across(buckets, groups, percent), full, percent)
+    more = verify(_across(buckets, groups, full, percent), full, percent)
     if not more.isEmpty():
         groups = store.put(components(links.unionByName(more), "a", "b"), "groups")
     store.drop(full, buckets, links, more)
@@ -174,17 +179,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("id", "n_shingles", F.coalesce("component", "node").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component", "node"), F.lit(True)).alias("kept"))
 
 
-def _across(buckets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a bucket in different components, of sizes that allow the similarity; a is not of the bucket's head's
-    component, so what is many (the head's component) is met by what is few."""
+def _across(buckets: DataFrame, groups: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a bucket, in different components, whose sizes and signatures allow the similarity.
+
+    In each bucket the nodes outside its head's component (the few) meet all its nodes, block by block.  Of the buckets
+    that a pair shares, only the first band's compares it.
+    """
     own = store.put(buckets.join(groups, "node", "left").select("key", "node", "n", "head", F.coalesce("component", "node").alias("c")), "own")
     main = own.where(F.col("node") == F.col("head")).select("key", F.col("c").alias("main")).distinct()
     mixed = store.put(own.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where(F.col("x") < F.col("y")).select("key").join(main, "key"), "mixed")
-    rows = store.put(own.join(mixed, "key").select("key", "node", "n", "c", "main"), "mixed-rows")
-    few = store.put(rows.where(F.col("c") != F.col("main")).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), "few")
-    fits = (F.col("n") * 100 >= F.col("na") * percent) & (F.col("na") * 100 >= F.col("n") * percent)
-    once = (F.col("c") == F.col("main")) | (F.col("a") < F.col("node"))
-    return rows.join(few, "key").where((F.col("c") != F.col("ca")) & fits & once).select("a", F.col("node").alias("b")).distinct()
+    rows = store.put(own.join(mixed, "key").select("key", "node", "n", "c", (F.col("c") != F.col("main")).alias("few")), "mixed-rows")
+    blocks = lambda x: F.ceil(F.count(x) / BLOCK).cast("int")
+    size = store.put(rows.groupBy("key").agg(blocks(F.lit(1)).alias("mb"), blocks(F.when(F.col("few"), 1)).alias("fb")), "sizes")
+    sized = rows.join(size, "key")
+    mine = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    all_of = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    few = sized.where("few").select("key", "node", "n", "c", F.lit(0).alias("part"), mine("fb").alias("f"), all_of("mb").alias("m"))
+    many = sized.select("key", "node", "n", "c", F.lit(1).alias("part"), all_of("fb").alias("f"), mine("mb").alias("m"), "few")
+    dealt = store.put(few.withColumn("few", F.lit(True)).unionByName(many), "dealt")
+    with_sig = dealt.join(full.select("node", "keys", "sig"), "node").select("key", "f", "m", "part", "node", "n", "c", "few", "keys", "sig")
+    with_sig = with_sig.repartition(store.parts(buckets.sparkSession), "key", "f", "m").sortWithinPartitions("key", "f", "m", "part")
+
+    def compare(key, left, right):
+        def columns(rows):
+            node, n, c, few = (np.array([r[k] for r in rows]) for k in range(4, 8))
+            return node, n, c, few, np.frombuffer(b"".join(r[8] for r in rows), np.uint32).reshape(len(rows), -1), np.frombuffer(b"".join(r[9] for r in rows), np.uint8).reshape(len(rows), -1)
+
+        node, n, c, few, keys, sig = columns(right)
+        for a, na, ca, _, ka, sa in zip(*columns(left)):
+            band = int(np.flatnonzero(ka == np.uint32(key & 0xFFFFFFFF))[0])
+            ok = (c != ca) & (n * 100 >= na * percent) & (na * 100 >= n * percent) & (~few | (node > a))
+            at = np.flatnonzero(ok)
+            at = at[~(keys[at, :band] == ka[:band]).any(1)]
+            at = at[(sig[at] == sa).mean(1) >= LEAST]
+            yield from ((int(a), int(b)) for b in node[at])
+
+    def run(batches):
+        group, left, right = None, [], []
+
+        def finish():
+            if left and right:
+                yield from compare(group[0], left, right)
+
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != group:
+                    out += finish()
+                    group, left, right = row[:3], [], []
+                (right if row[3] else left).append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
+        if out := list(finish()):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
+
+    pairs = store.put(with_sig.mapInArrow(run, "a long, b long").distinct(), "across")
+    store.drop(own, mixed, rows, size, dealt)
+    return pairs
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
