@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import store, text
 
@@ -92,13 +93,13 @@ def likeness(a: np.ndarray, b: np.ndarray, same: bool = False) -> float:
     return 1.0 if same else common(a, b) / least if least else 0.0
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fingerprint(t):
     texts = t.tolist()
     return type(t)([encode(s, digest(x)) for s, x in zip(sketches(texts), texts)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _containment(a, b):
     out = []
     for x, y in zip(a, b):
@@ -107,7 +108,7 @@ def _containment(a, b):
     return type(a)(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _merged(a, b):
     return type(a)([encode(np.union1d(decode(x)[1], decode(y)[1]), digest(f"{x}|{y}")) for x, y in zip(a, b)])
 

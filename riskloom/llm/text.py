@@ -38,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_MULT**i and its inverse, for i < n at least."""
-    if n > len(_powers.get("up", ())):
+    if "up" not in _powers or n > len(_powers["up"]):
         for key, base in (("up", _MULT), ("down", _INV)):
             p = np.full(max(n, PIECE + 1), U(base), np.uint64)
             p[0] = 1
