@@ -35,7 +35,7 @@ from .components import components
 
 SHINGLE, PERCENT, BANDS, ROWS, SEED = 5, 75, 28, 4, 11
 #: Members of a star that one task compares with its head at a time; nodes of one side in a block of a bucket.
-STAR, BLOCK = 64, 512
+STAR, BLOCK = 64, 2048
 #: Minima of the signature, and the share of equal ones below which a pair is let go (four standard errors below the threshold).
 SIGNATURE, LEAST = 512, 0.675
 WIDTH = 6
@@ -66,7 +66,7 @@ def _minima(s: np.ndarray, to: np.ndarray, count: int) -> np.ndarray:
 
 
 def _band_keys(minima: np.ndarray, bands: int) -> np.ndarray:
-    m = minima.reshape(len(minima), bands, -1).astype(np.uint64)
+    m = minima.reshape(len(minima), bands, minima.shape[1] // bands).astype(np.uint64)
     key = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * U(0x9E3779B97F4A7C15)
     for k in range(m.shape[2]):
         key = text.mix(key ^ m[:, :, k])
@@ -194,7 +194,8 @@ def _across(buckets: DataFrame, groups: DataFrame, full: DataFrame, percent: int
     sized = rows.join(size, "key")
     mine = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
     all_of = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    few = sized.where("few").select("key", "node", "n", "c", F.lit(0).alias("part"), mine("fb").alias("f"), all_of("mb").alias("m"))
+    # in a bucket of one block its nodes are sent once and serve as both sides
+    few = sized.where(F.col("few") & ((F.col("fb") > 1) | (F.col("mb") > 1))).select("key", "node", "n", "c", F.lit(0).alias("part"), mine("fb").alias("f"), all_of("mb").alias("m"))
     many = sized.select("key", "node", "n", "c", F.lit(1).alias("part"), all_of("fb").alias("f"), mine("mb").alias("m"), "few")
     dealt = store.put(few.withColumn("few", F.lit(True)).unionByName(many), "dealt")
     with_sig = dealt.join(full.select("node", "keys", "sig"), "node").select("key", "f", "m", "part", "node", "n", "c", "few", "keys", "sig")
@@ -218,8 +219,9 @@ def _across(buckets: DataFrame, groups: DataFrame, full: DataFrame, percent: int
         group, left, right = None, [], []
 
         def finish():
-            if left and right:
-                yield from compare(group[0], left, right)
+            own = left or [r for r in right if r[7]]
+            if own and right:
+                yield from compare(group[0], own, right)
 
         for batch in batches:
             out = []
