@@ -69,7 +69,7 @@ def hidden_parameters(query: Column) -> Column:
         letters = F.regexp_replace(F.translate(F.substring_index(v, "=", 1), "-_", "+/"), "[^A-Za-z0-9+/]", "")
         plain = F.regexp_replace(letters, r"^((?:.{4})*).$", "$1")
         padded = F.concat(plain, F.repeat(F.lit("="), ((4 - F.length(plain) % 4) % 4).cast("int")))
-        return F.decode(F.try_to_binary(padded, F.lit("base64")), F.lit("ISO-8859-1"))
+        return F.decode(F.try_to_binary(padded, F.lit("base64")), "ISO-8859-1")
 
     read = F.transform(long, lambda p: F.struct(p["name"].alias("name"), F.substring(decoded(p["value"]), 1, 200).alias("text")))
     return F.filter(read, lambda p: p["text"].rlike(r"^[\x20-\x7E]+$") & p["text"].rlike("http|password|login"))
