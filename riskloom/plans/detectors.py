@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskloom import config
 from riskloom.functions import actions, markup, urls
 from riskloom.operators import brands, lexicon, registration
+from riskloom.sources import tables
 from riskloom.plans.queries import PHRASES, TEXT_CASES, _load, query
 
 _TEXTS = "c AS (" + TEXT_CASES.format(documents="documents") + ")"
@@ -160,3 +161,23 @@ def S1_request_checks(spark, sf_dir):
     u = F.col("url")
     reason = F.when(u.isNull() | (F.trim(u) == ""), "empty").when(F.length(u) > 2048, "too_long").when(~u.rlike("(?i)^https?://"), "scheme")
     return _load(spark, sf_dir, "pages").select("page_id", reason.isNull().alias("accepted"), reason.alias("reason"))
+
+
+@query("SELECT page_id, i AS index, CASE i WHEN 0 THEN 'jpg' ELSE 'png' END AS ext, md5('image ' || CAST(page_id AS VARCHAR)) AS digest FROM pages, (SELECT unnest([0, 1])::BIGINT AS i) WHERE i = 0 OR page_id % 2 = 0")
+def S11_embedded_images(spark, sf_dir):
+    data = F.base64(F.encode(F.concat(F.lit("image "), F.col("page_id").cast("string")), "UTF-8"))
+    html = F.concat(F.lit("<img src='data:image/jpeg;base64,"), data, F.lit("'>"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<img src='data:image/png;base64,"), data, F.lit("'>"))).otherwise(""))
+    return tables.embedded_images(_load(spark, sf_dir, "pages").select("page_id", html.alias("html")), "page_id").select("page_id", "index", "ext", F.md5("bytes").alias("digest"))
+
+
+@query("SELECT lower(p_type) AS tld, round(v / max(v) OVER (), 3) AS risk FROM (SELECT p_type, max(p_size)::DOUBLE AS v FROM part GROUP BY 1)")
+def S6_suffix_scores(spark, sf_dir):
+    rows = _load(spark, sf_dir, "part").groupBy("p_type").agg(F.max("p_size").cast("string").alias("score"))
+    return tables.suffix_scores(rows, "p_type", "score")
+
+
+@query("SELECT doc_id, quality AS label, lang FROM (SELECT l.doc_id, l.quality, NULL AS lang FROM labels l UNION ALL SELECT doc_id, CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 0 END, lang FROM documents) WHERE quality IN (0, 1)")
+def X1_labelled_union(spark, sf_dir):
+    a = _load(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
+    b = _load(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", "1.0").when(F.col("lang") == "fr", "0").when(F.col("lang") == "de", "unknown").alias("label"), "lang")
+    return tables.labelled([a, b], "label")
