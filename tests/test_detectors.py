@@ -68,3 +68,10 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("limits").collect())) == sorted(map(tuple, batch.collect()))
     live.drain(live.first_seen(stream, ["user", "ts"], "ts", "10 days"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.distinct().count()
+
+
+def test_flags_and_labels(spark):
+    rows = spark.createDataFrame([(v,) for v in ("TRUE", " 0 ", "1", "no", None)], "v string")
+    assert [r[0] for r in rows.select(tables.flag(F.col("v"))).collect()] == [1, 0, 1, None, None]
+    a, b = spark.createDataFrame([("1", 5)], "y string, n int"), spark.createDataFrame([("2", "x"), ("0", "z"), (None, "w")], "y string, t string")
+    assert sorted(map(tuple, tables.labelled([a, b], "y").collect())) == [(0, None, "z"), (1, 5, None)]
