@@ -99,3 +99,30 @@ def flag_score(flags: Column) -> Column:
     """Sum of the flags' scores, 1 at most."""
     s = total(F.array_contains(flags, k).cast("int") * v for k, v in FLAG_SCORES.items())
     return F.least(F.lit(1.0), s + F.exists(flags, lambda f: f.startswith("brand_impersonation_")).cast("int") * 1.0)
+
+
+def parameters(query: Column) -> Column:
+    """a query's parameters as a map; of a repeated name the last counts; text that isn't valid coding stays as it is; null for null."""
+    read = lambda c: F.coalesce(F.try_url_decode(c), c)
+    parts = F.filter(F.split(F.regexp_replace(query, r"^\?", ""), "&"), lambda p: p != "")
+    pairs = F.transform(parts, lambda p: F.struct(read(F.substring_index(p, "=", 1)).alias("name"), read(F.regexp_extract(p, "^[^=]*=?(.*)$", 1)).alias("value")))
+    names = F.array_distinct(F.transform(pairs, lambda p: p["name"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["name"] == n), -1)["value"]))
+
+
+def origin(url: Column) -> Column:
+    """scheme and authority with its port, in lower case; empty where there is none."""
+    return F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+
+
+def parsed(url: Column) -> dict[str, Column]:
+    """The parts of an address; ``registered`` is the last two labels, three for known pairs; nulls stay null."""
+    u = normalised(url)
+    h = host(u)
+    two = F.substring_index(h, ".", -2)
+    own = F.when(is_ip(h), h).when(two.isin(*config.TWO_LABEL_TLDS), F.substring_index(h, ".", -3)).otherwise(two)
+    p = path(u)
+    return {
+        "scheme": F.lower(F.regexp_extract(u, "^([A-Za-z]+):", 1)), "host": h, "path": F.when(p == "", "/").otherwise(p), "query": F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "registered": own,
+        "subdomain": F.when(h == own, "").otherwise(F.substring(h, F.lit(1), F.length(h) - F.length(own) - 1)), "is_ip": is_ip(h), "is_localhost": h.isin("localhost", "127.0.0.1"),
+    }

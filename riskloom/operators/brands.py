@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskloom import config
-from riskloom.functions import urls
+from riskloom.functions import phonetic, urls
 
 #: Brand to (domains, aliases).
 Catalogue = dict[str, tuple[tuple[str, ...], tuple[str, ...]]]
@@ -24,17 +24,22 @@ def _variants(brand: str, cat: Catalogue) -> list[str]:
     return [v for v in (brand, *cat[brand][1]) if len(v) >= 3]
 
 
+def _whole(words: list[str]) -> str:
+    """A pattern of whole words; only ASCII letters, digits and the underscore count as part of a word."""
+    return "(?<![A-Za-z0-9_])(?:" + "|".join(map(re.escape, words)) + ")(?![A-Za-z0-9_])"
+
+
 def mentions(text: Column, cat: Catalogue = CATALOGUE) -> Column:
     """The brands that a text names as whole words, in the catalogue's order; none for null."""
     lower = F.lower(text)
-    return F.array_compact(F.array(*[F.when(lower.rlike(r"\b(?:" + "|".join(re.escape(v) for v in _variants(b, cat)) + r")\b"), b) for b in cat]))
+    return F.array_compact(F.array(*[F.when(lower.rlike(_whole(_variants(b, cat))), b) for b in cat]))
 
 
 def primary(text: Column, cat: Catalogue = CATALOGUE) -> Column:
     """the brand of the longest variant named, the first by name of those; null if none is."""
     lower = F.lower(text)
     by_length = sorted((-len(v), b, v) for b in cat for v in _variants(b, cat))
-    return F.coalesce(*[F.when(lower.rlike(r"\b" + re.escape(v) + r"\b"), b) for _, b, v in by_length])
+    return F.coalesce(*[F.when(lower.rlike(_whole([v])), b) for _, b, v in by_length])
 
 
 def registered(host: Column) -> Column:
@@ -148,3 +153,19 @@ def nearest(host: Column, cat: Catalogue = CATALOGUE) -> Column:
         return pd.DataFrame([found.get(d, (None, 0.0, 0.0)) for d in domain], columns=["brand", "similarity", "score"])
 
     return near(registered(F.lower(host)))
+
+
+def sound_alike(host: Column, brand: Column, cat: Catalogue = CATALOGUE) -> dict[str, Column]:
+    """0.8 if the host's first label sounds like the brand named, without a known one 0.7 if like any, the first by name.
+
+    Labels lose hyphens, underscores and digits; one under three characters, or equal to the brand, is no match.
+    """
+    label = F.regexp_replace(F.lower(F.substring_index(host, ".", 1)), "[-_0-9]", "")
+    codes = phonetic.codes(label)
+    bare = {b: re.sub("[-_]", "", b) for b in sorted(cat)}
+    like = {b: (label != c) & F.arrays_overlap(codes, F.array(*map(F.lit, phonetic.keys(c)))) for b, c in bare.items()}
+    named = F.coalesce(*[F.when((brand == b) & m, b) for b, m in like.items()])
+    any_ = F.coalesce(*[F.when(m, b) for b, m in like.items()])
+    known = F.coalesce(brand.isin(*cat), F.lit(False))
+    found = F.when(F.length(label) >= 3, F.when(known, named).otherwise(any_))
+    return {"phonetic_brand": found, "phonetic_score": F.when(found.isNull(), 0.0).when(known, 0.8).otherwise(0.7)}

@@ -44,3 +44,15 @@ def rate_limited(requests: DataFrame, key: str, ts: str, most: int = 60, window:
 def newest(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
     """The newest rows; a top-k plan, no global sort."""
     return rows.orderBy(*order).limit(most)
+
+
+def window_stats(results: DataFrame, ts: str, verdict: str, value: str, window: str) -> DataFrame:
+    """Results and mean of a value by window and verdict; on a stream, after a watermark."""
+    by = results.groupBy(F.window(ts, window).alias("w"), verdict).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"))
+    return by.select(F.col("w.start").alias("window_start"), verdict, "n", "mean")
+
+
+def lookup_due(rows: DataFrame, key: str, ts: str, order: str, seconds: int = 86400) -> DataFrame:
+    """Adds ``lookup``: whether a row is the first of its key or a day and more after the one before."""
+    before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts, order))
+    return rows.withColumn("lookup", before.isNull() | (F.unix_timestamp(ts) - F.unix_timestamp(before) >= seconds))

@@ -32,3 +32,16 @@ def image_text(text: Column) -> dict[str, Column]:
 def share_of_lexicon(text: Column, words) -> Column:
     """hits over 15 % of the lexicon's size (1 at least), 1 at most, three decimals; null for a null text."""
     return F.round(F.least(F.lit(1.0), hits(F.lower(text), words) / max(0.15 * len(words), 1.0)), 3)
+
+
+def brands_in_text(text: Column, brands: tuple[str, ...] = config.TEXT_BRANDS) -> Column:
+    """the brands that stand between blanks, in the list's order; none for null."""
+    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+    return F.array_compact(F.array(*[F.when(padded.contains(f" {b} "), b) for b in brands]))
+
+
+def text_shape(text: Column) -> dict[str, Column]:
+    """length, digits, blanks and the rest that is neither letter nor digit; 0 for null."""
+    t = F.coalesce(text, F.lit(""))
+    count = lambda p: F.regexp_count(t, F.lit(p)).cast("long")
+    return {"length": F.length(t).cast("long"), "digit_count": count("[0-9]"), "special_count": count(r"[^A-Za-z0-9\s]"), "space_count": count(r"\s")}

@@ -39,3 +39,8 @@ def metrics(df: DataFrame, label: Column, score: Column, threshold: float = 0.5)
     c = by.withColumn("u", F.col("p") * (below + F.col("q") / 2)).agg(F.sum(F.when(hit, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("q")).otherwise(0)).alias("fp"), F.sum(F.when(hit, 0).otherwise(F.col("p"))).alias("fn"), F.sum(F.when(hit, 0).otherwise(F.col("q"))).alias("tn"), F.sum("u").alias("u"))
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     return c.select("tp", "fp", "fn", "tn", *[F.round(v, 6).alias(k) for k, v in (("accuracy", F.try_divide(tp + tn, tp + fp + fn + tn)), ("precision", F.try_divide(tp, tp + fp)), ("recall", F.try_divide(tp, tp + fn)), ("f1", F.try_divide(2 * tp, 2 * tp + fp + fn)), ("auc", F.try_divide("u", (tp + fn) * (fp + tn))))])
+
+
+def coverage(df: DataFrame, filled: dict[str, str], true: list[str]) -> DataFrame:
+    """Rows, rows where a text is neither null nor empty (by result name), and rows where a flag is true, in one aggregation."""
+    return df.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.length(F.col(c)) > 0).alias(k) for k, c in filled.items()], *[F.count_if(F.col(c)).alias(c) for c in true])

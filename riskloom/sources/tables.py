@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -58,3 +58,23 @@ def varying(rows: DataFrame) -> list[str]:
 def put_ordered(rows: DataFrame, first: list[str], path: str, form: str = "parquet") -> None:
     """Writes the named columns first, then the rest by name."""
     rows.select(*[c for c in first if c in rows.columns], *sorted(c for c in rows.columns if c not in first)).write.format(form).mode("overwrite").options(**({"header": True} if form == "csv" else {})).save(path)
+
+
+def domain_lines(spark: SparkSession, path: str, top: int = 1000) -> DataFrame:
+    """A text file of domains, one a line in order of rank: rank from 1, domain, and whether it is among the first ``top``.
+
+    Blank lines don't count.  Ranks come from the order within and between the file's parts, counted by part, so no task gathers the file.
+    """
+    rows = spark.read.text(path).select(F.lower(F.trim("value")).alias("domain"), F.monotonically_increasing_id().alias("at")).where("domain <> ''").withColumn("part", F.shiftright("at", 33))
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row a part
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = rows.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("at")))
+    return ranked.select("rank", "domain", (F.col("rank") <= top).alias("top"))
+
+
+def brand_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """Brand, domain and embedding from a JSON file that is a list of entries, or an object that holds them as ``entries``; rows without a vector go."""
+    entry = "struct<brand:string,domain:string,embedding:array<double>>"
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("t"))
+    both = text.select(F.coalesce(F.when(F.startswith("t", F.lit("[")), F.from_json("t", f"array<{entry}>")), F.from_json("t", f"struct<entries:array<{entry}>>")["entries"]).alias("e"))
+    return both.select(F.inline("e")).where(F.size("embedding") > 0)
