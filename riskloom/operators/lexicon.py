@@ -31,7 +31,7 @@ def image_text(text: Column) -> dict[str, Column]:
 
 def share_of_lexicon(text: Column, words) -> Column:
     """hits over 15 % of the lexicon's size (1 at least), 1 at most, three decimals; null for a null text."""
-    return F.round(F.least(F.lit(1.0), hits(F.lower(text), words) / max(0.15 * len(words), 1.0)), 3)
+    return F.when(text.isNotNull(), F.round(F.least(F.lit(1.0), hits(F.lower(text), words) / max(0.15 * len(words), 1.0)), 3))
 
 
 def brands_in_text(text: Column, brands: tuple[str, ...] = config.TEXT_BRANDS) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.functions import layout, urls
-from riskloom.operators import brands, cascade, dashboard, history, lexicon, modelling, profile
+from riskloom.operators import brands, cascade, dashboard, history, lexicon, modelling, profile, scan
 from riskloom.plans.queries import _CASES, _HISTORY, _HOST, _cases, _history, _load, query
 
 
@@ -203,3 +203,18 @@ def C8_lookup_due(spark, sf_dir):
     return history.lookup_due(_history(spark, sf_dir), "user_id", "ts", "event_id").select("event_id", "lookup")
 
 
+
+
+#: Worked by hand from the rules: (url, html, similarity, verdict, score, confidence, level)
+SCANS = (
+    ("https://www.google.com/", "<title>Hi there friend</title><p>plain words here", None, "SAFE", 0.0, 1.0, "L1_WHITELIST"), ("https://a.b.c.d.example.com/", None, None, "SAFE", 0.255, 0.745, "L3_ML"), ("https://a.b.c.d.example.com/", None, 0.9, "MALICIOUS", 0.2475, 0.9025, "L3_ML"),
+    ("http://paypal-secure.com/", '<title>PayPal</title><body><p>verify your account</p><form action="http://collector.test/x.php" method="post"><input type="password"></form>', None, "MALICIOUS", 1.0, None, "L2_HEURISTICS"), ("http://example.com/", "<p>plain words here", 0.9, "SAFE", 0.0, None, "L2_HEURISTICS"),
+)
+
+
+@query(f"SELECT page_id, {_pick('page_id', SCANS, 0)} AS url, {_pick('page_id', SCANS, 3)} AS verdict, {_pick('page_id', SCANS, 4)}::DOUBLE AS score, {_pick('page_id', SCANS, 5)}::DOUBLE AS confidence, {_pick('page_id', SCANS, 6)} AS level_caught FROM pages")
+def Y1_scan(spark, sf_dir):
+    """The whole scan; the cases are worked by hand."""
+    case = lambda k, t: F.expr(_pick("page_id", SCANS, k)).cast(t)
+    rows = _load(spark, sf_dir, "pages").select("page_id", case(0, "string").alias("url"), case(1, "string").alias("html"), case(2, "double").alias("similarity"), F.lit("paypal.com").alias("expected_domain"))
+    return scan.scan(rows, spark.createDataFrame([("google.com",)], "domain string"), ("page_id",)).select("page_id", "url", "verdict", "score", "confidence", "level_caught")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import layout, phonetic, urls
-from riskloom.operators import brands, cascade, dashboard, lexicon, modelling
+from riskloom.operators import brands, cascade, dashboard, lexicon, modelling, scan, scoring
 from riskloom.sources import tables
 
 
@@ -80,3 +80,27 @@ def test_files(spark, tmp_path):
         assert [tuple(r) for r in tables.brand_vectors(spark, str(tmp_path / "v.json")).collect()] == [("x", "x.test", [1.0, 0.5])]
     (tmp_path / "v.json").write_text('{"entries": []}')
     assert tables.brand_vectors(spark, str(tmp_path / "v.json")).count() == 0
+
+
+def test_short_null_and_unmarked_input_scores_nothing(spark):
+    none = F.lit(None).cast("string")
+    form = F.struct(none.alias("action"), none.alias("method"), F.lit(0).alias("n_password"), F.lit(0).alias("n_hidden"))
+    nothing = {k: F.lit(None).cast("double") for k in ("fear_score", "form_score", "ocr_score", "visual_score")}
+    r = spark.range(1).select(
+        scoring.patterns(none)["pattern_score"].alias("none"), scoring.patterns(F.lit("arrest"))["pattern_score"].alias("short"), lexicon.share_of_lexicon(none, ("a",)).alias("share"), scoring.form_score(form, F.lit("https://a.test"), F.lit("https://a.test/")).alias("form"),
+        scoring.forms_score(F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))).alias("clean"), scoring.forms_score(F.array(F.lit(0.0), F.lit(0.5), F.lit(0.1))).alias("told"), scoring.fused(nothing, F.lit(0.2))["final_score"].alias("final"),
+    ).first()
+    assert tuple(r) == (0.0, 0.0, None, 0.1, 0.0, 0.55, 0.17)
+
+
+def test_page_rules_of_forms(spark):
+    score = lambda html: spark.range(1).select(scoring.page_form_score(F.array(F.lit(0.3)), F.lit(html).cast("string"), F.lit("https://a.test"))).first()[0]
+    assert [score(h) for h in (None, "", "<input type='password' autocomplete=off>", "<input autocomplete='off'>", "<iframe src='//b.test'></iframe>", "<IFRAME SRC=https://a.test/x>", "<iframe></iframe>", "<input type=password autocomplete='off'><iframe src='http://b.test'>")] == [0.3, 0.3, 0.45, 0.3, 0.55, 0.3, 0.3, 0.7]
+
+
+def test_scan_falls_back_and_keeps_every_row(spark):
+    rows = spark.createDataFrame([(1, "https://a.b.c.d.example.com/", None, "x", 5), (1, "https://a.b.c.d.example.com/", None, "x", 5), (2, None, None, "y", 6), (3, "", "", None, None)], "id int, url string, html string, verdict string, domain int")
+    got = scan.scan(rows, keep=("id",)).collect()
+    assert sorted((r.id, r.verdict, r.level_caught, r.confidence) for r in got)[:2] == [(1, "SUSPICIOUS", "L2_FALLBACK", 0.5)] * 2 and sorted(r.id for r in got) == [1, 1, 2, 3]
+    assert scan.scan(rows.limit(0), keep=("id",)).count() == 0
+    assert {r.level_caught for r in scan.scan(rows.withColumn("cached_verdict", F.lit("SAFE"))).collect()} == {"L1_CACHE"}
