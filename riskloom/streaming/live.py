@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 
+from riskloom import config
 from riskloom.operators import history
 
 
@@ -20,3 +22,49 @@ def first_seen(events: DataFrame, keys: list[str], ts: str, late: str) -> DataFr
 def drain(rows: DataFrame, path: str, checkpoint: str) -> None:
     """Writes what is there to Parquet, exactly once over restarts, and stops."""
     rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def revalidation(observations: DataFrame, key: str, ts: str, order: str, late: str) -> DataFrame:
+    """C2, C3, C5 and C6 on a stream: what to do at each observation (``key``, ``ts``, ``order``, ``verdict``, ``html_hash``), given the one before under the same key.
+
+    Only that one is kept, and dropped when its verdict has expired by the watermark, so state follows the live keys.  Rows
+    of a trigger are taken in order of time; one older than what is kept for its key is judged, but doesn't replace it.  The
+    source's bound on a trigger's size bounds what a key brings to a task at once.  Null keys are one key.
+    """
+    columns = [key, ts, order, "verdict", "html_hash"]
+    kinds = {f.name: f.dataType for f in observations.schema.fields}
+    seconds, other = config.TTL_SECONDS["MALICIOUS"], config.TTL_SECONDS["other"]
+    day = 86400
+
+    def act(before, seen, at) -> str:
+        if before is None:
+            return "scan"
+        verdict, held, then = before
+        age = at - then
+        if verdict is None or age >= (seconds if verdict == "MALICIOUS" else other):
+            return "scan"
+        if verdict == "SAFE" and held is None:
+            return "rescan"
+        if verdict == "SAFE" or (verdict == "MALICIOUS" and held is not None and age > day):
+            return "recheck_serve" if held == seen else "invalidate_rescan"
+        return "serve"
+
+    def step(keys, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get if state.exists else None
+        rows = pd.concat(list(batches)).sort_values([ts, order])
+        actions = []
+        for verdict, held, at in zip(rows["verdict"], rows["html_hash"], rows[ts].astype("datetime64[s]").astype("int64")):
+            verdict, held = (None if pd.isna(v) else v for v in (verdict, held))
+            actions.append(act(before, held, at))
+            if before is None or at >= before[2]:
+                before = (verdict, held, int(at))
+        state.update(before)
+        expires = (before[2] + (seconds if before[0] == "MALICIOUS" else other)) * 1000
+        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({order: rows[order].to_numpy(), "action": actions})
+
+    known = observations.select(*columns).withWatermark(ts, late).groupBy(key)
+    return known.applyInPandasWithState(step, f"`{order}` {kinds[order].simpleString()}, action string", "verdict string, html_hash string, at long", "append", "EventTimeTimeout")

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import layout, phonetic, urls
-from riskloom.operators import brands, cascade, dashboard, lexicon, modelling, scan, scoring
+from riskloom.operators import brands, cascade, dashboard, history, lexicon, modelling, scan, scoring
 from riskloom.sources import tables
+from riskloom.streaming import live
 
 
 @pytest.mark.parametrize(("name", "first", "second"), [
@@ -104,3 +105,13 @@ def test_scan_falls_back_and_keeps_every_row(spark):
     assert sorted((r.id, r.verdict, r.level_caught, r.confidence) for r in got)[:2] == [(1, "SUSPICIOUS", "L2_FALLBACK", 0.5)] * 2 and sorted(r.id for r in got) == [1, 1, 2, 3]
     assert scan.scan(rows.limit(0), keep=("id",)).count() == 0
     assert {r.level_caught for r in scan.scan(rows.withColumn("cached_verdict", F.lit("SAFE"))).collect()} == {"L1_CACHE"}
+
+
+def test_revalidation_on_a_stream_agrees_with_the_table(spark, tmp_path):
+    rows = spark.range(400).select(F.col("id").alias("n"), (F.col("id") % 7).alias("k"), (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=F.col("id").cast("int") * 2, secs=F.lit(0.25))).alias("at"), F.element_at(F.array(*map(F.lit, ("SAFE", "MALICIOUS", "SUSPICIOUS"))), (F.col("id") % 3 + 1).cast("int")).alias("verdict"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("h"), (F.col("id") % 2).cast("string"))).alias("html_hash"))
+    for part in range(4):  # in order of time, a file a trigger
+        rows.where((F.col("n") >= part * 100) & (F.col("n") < part * 100 + 100)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live.drain(live.revalidation(stream, "k", "at", "n", "1 day"), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = dict(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == {r.n: r.action for r in history.revalidation(rows, "k", "at", "n").collect()} and len(set(got.values())) >= 4
