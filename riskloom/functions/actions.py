@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from riskloom.functions import urls
+
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?"
 
 
@@ -62,7 +64,7 @@ def resolved_action(page_url: Column, action: Column) -> Column:
 
 def hidden_parameters(query: Column) -> Column:
     """F8: names and decoded values of parameters that hide readable text in base64 about an address, password or login."""
-    pairs = F.transform(F.split(query, "&"), lambda p: F.struct(F.substring_index(p, "=", 1).alias("name"), F.try_url_decode(F.regexp_replace(p, "^[^=]*=?", "")).alias("value")))
+    pairs = F.map_entries(urls.parameters(query)).cast("array<struct<name:string,value:string>>")
     long = F.filter(pairs, lambda p: (F.length(p["value"]) > 20) & p["value"].rlike("[A-Za-z0-9_-]{20,}"))
 
     def decoded(v: Column) -> Column:
@@ -71,5 +73,6 @@ def hidden_parameters(query: Column) -> Column:
         padded = F.concat(plain, F.repeat(F.lit("="), ((4 - F.length(plain) % 4) % 4).cast("int")))
         return F.decode(F.try_to_binary(padded, F.lit("base64")), "ISO-8859-1")
 
-    read = F.transform(long, lambda p: F.struct(p["name"].alias("name"), F.substring(decoded(p["value"]), 1, 200).alias("text")))
-    return F.filter(read, lambda p: p["text"].rlike(r"^[\x20-\x7E]+$") & p["text"].rlike("http|password|login"))
+    read = F.transform(long, lambda p: F.struct(p["name"].alias("name"), decoded(p["value"]).alias("text")))
+    found = F.filter(read, lambda p: p["text"].rlike(r"^[\x20-\x7E]+$") & p["text"].rlike("http|password|login"))
+    return F.transform(found, lambda p: F.struct(p["name"].alias("name"), F.substring(p["text"], 1, 200).alias("text")))

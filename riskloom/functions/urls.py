@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskloom import config
+from riskloom.functions import actions
 
 
 def total(columns) -> Column:
@@ -80,24 +81,34 @@ def structure(url: Column, host_: Column) -> dict[str, Column]:
 
 
 def obfuscation_flags(url: Column, host_: Column) -> Column:
-    """Flags of A11 in order (without decoded parameters, see base64_flags)."""
+    """Flags of A11 in order."""
     brand = F.lit(None).cast("string")
     for b in reversed(config.OBFUSCATION_BRANDS):
         brand = F.when(host_.contains(b) & ~host_.endswith(f".{b}.com") & (host_ != f"{b}.com"), F.lit(f"brand_impersonation_{b}")).otherwise(brand)
     registered = F.substring_index(host_, ".", -2)
     flag = lambda when, name: F.when(when, F.lit(name))
-    return F.array_compact(F.array(
+    early = F.array_compact(F.array(
         flag(host_.isin(*config.SHORTENERS) | registered.isin(*config.SHORTENERS), "url_shortener"), flag(is_ip(host_), "ip_based_url"), flag(host_.contains("xn--"), "idn_homograph"),
-        flag(F.size(F.split(host_, r"\.")) > 4, "excessive_subdomains"), flag(F.regexp_count(url, F.lit("https?://")) > 1, "url_in_url_redirect"), flag(url.rlike("(?i)https?://[^@]+@"), "at_symbol_trick"), brand,
+        flag(F.size(F.split(host_, r"\.")) > 4, "excessive_subdomains"),
     ))
+    late = F.array_compact(F.array(flag(F.regexp_count(url, F.lit("https?://")) > 1, "url_in_url_redirect"), flag(url.rlike("(?i)https?://[^@]+@"), "at_symbol_trick"), brand))
+    return F.concat(early, F.coalesce(base64_flags(url), F.array().cast("array<string>")), late)
+
+
+def base64_flags(url: Column) -> Column:
+    """A flag for each parameter that hides a decoded address, password or login (F8), in order."""
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    return F.transform(actions.hidden_parameters(query), lambda p: F.concat(F.lit("base64_param_"), p["name"]))
 
 
 FLAG_SCORES = {"url_shortener": 0.4, "ip_based_url": 0.35, "idn_homograph": 0.45, "excessive_subdomains": 0.25, "url_in_url_redirect": 0.35, "at_symbol_trick": 0.5}
+BASE64_SCORE = 0.3
 
 
 def flag_score(flags: Column) -> Column:
-    """Sum of the flags' scores, 1 at most."""
+    """Sum of the flags' scores, BASE64_SCORE for each hidden parameter, 1 at most."""
     s = total(F.array_contains(flags, k).cast("int") * v for k, v in FLAG_SCORES.items())
+    s = s + F.size(F.filter(flags, lambda f: f.startswith("base64_param_"))) * BASE64_SCORE
     return F.least(F.lit(1.0), s + F.exists(flags, lambda f: f.startswith("brand_impersonation_")).cast("int") * 1.0)
 
 

@@ -34,6 +34,11 @@ def share_of_lexicon(text: Column, words) -> Column:
     return F.when(text.isNotNull(), F.round(F.least(F.lit(1.0), hits(F.lower(text), words) / max(0.15 * len(words), 1.0)), 3))
 
 
+def lexicon_shares(text: Column) -> dict[str, Column]:
+    """the share of each of the six lexicons."""
+    return {f"{name}_score": share_of_lexicon(text, words) for name, words in config.LEXICONS.items()}
+
+
 def brands_in_text(text: Column, brands: tuple[str, ...] = config.TEXT_BRANDS) -> Column:
     """the brands that stand between blanks, in the list's order; none for null."""
     padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))

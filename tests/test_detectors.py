@@ -1,10 +1,12 @@
 """Golden rows worked by hand from the formulas, nulls, files and streams."""
 
+import base64
+
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.functions import actions, markup
-from riskloom.operators import brands, history, lexicon, registration
+from riskloom.functions import actions, markup, urls
+from riskloom.operators import brands, history, lexicon, registration, scan
 from riskloom.sources import tables
 from riskloom.streaming import live
 
@@ -75,3 +77,24 @@ def test_flags_and_labels(spark):
     assert [r[0] for r in rows.select(tables.flag(F.col("v"))).collect()] == [1, 0, 1, None, None]
     a, b = spark.createDataFrame([("1", 5)], "y string, n int"), spark.createDataFrame([("2", "x"), ("0", "z"), (None, "w")], "y string, t string")
     assert sorted(map(tuple, tables.labelled([a, b], "y").collect())) == [(0, None, "z"), (1, 5, None)]
+
+
+def test_hidden_parameters_count_in_the_address_score(spark):
+    coded = lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("=")
+    late, login, plain = coded("x" * 250 + " login"), coded("http://example.test/login?id=1"), coded("a plain sentence without meaning")
+    rows = spark.createDataFrame([(1, f"https://a.test/?n={login}"), (2, f"https://a.test/?a=1&n={late}&m={login}"), (3, f"https://a.test/?n={plain}"), (4, f"http://192.0.2.1/?n={login}&z=http://b.test/#f"), (5, f"https://a.test/?n={login}&n={plain}"), (6, "https://a.test/")], "i int, url string")
+    flags = urls.obfuscation_flags(F.col("url"), urls.host(F.col("url")))
+    got = {r.i: (list(r.flags), round(r.score, 3)) for r in rows.select("i", flags.alias("flags"), urls.flag_score(flags).alias("score")).collect()}
+    assert got == {1: (["base64_param_n"], 0.3), 2: (["base64_param_n", "base64_param_m"], 0.6), 3: ([], 0.0), 4: (["ip_based_url", "base64_param_n", "url_in_url_redirect"], 1.0), 5: ([], 0.0), 6: ([], 0.0)}
+    seen = rows.where("i = 2").select(F.explode(actions.hidden_parameters(F.regexp_extract("url", r"\?(.*)", 1))).alias("p")).select("p.*").collect()
+    assert [(r.name, r.text) for r in seen] == [("n", "x" * 200), ("m", "http://example.test/login?id=1")]
+    scanned = {r.url: (r.l2_score, list(r.breakdown.flags)) for r in scan.scan(rows.where("i IN (1, 6)").withColumn("html", F.lit("<p>plain</p>"))).collect()}
+    assert scanned[f"https://a.test/?n={login}"][1] == ["base64_param_n"] and scanned[f"https://a.test/?n={login}"][0] > scanned["https://a.test/"][0]
+
+
+def test_six_lexicons(spark):
+    rows = spark.createDataFrame([(1, "Urgent: the ADMIN asks you to claim your gift; upload id and password, account locked"), (2, None)], "i int, t string")
+    got = rows.orderBy("i").select(*[c.alias(k) for k, c in lexicon.lexicon_shares(F.col("t")).items()]).collect()
+    # 1 of 34, 1 of 24, 1 of 18, 1 of 12, claim and gift of 12, upload and upload id of 12
+    assert got[0].asDict() == {"urgency_score": 0.196, "fear_score": 0.278, "credential_score": 0.37, "authority_score": 0.556, "reward_score": 1.0, "document_score": 1.0}
+    assert set(got[1]) == {None}
