@@ -65,6 +65,16 @@ def test_quality(spark, docs, awkward):
     assert {r.score for r in quality.score(awkward, quality.learn(awkward, empty), keep=["doc_id"]).collect()} == {0.5}
 
 
+def test_chains_after_a_long_stretch():
+    """A far better chain earlier in the pair doesn't keep a later one with shifts from being chained."""
+    parts, x = [(0, 400, 0, 400)], 550
+    for k in range(4):
+        parts.append((x, x + 15, x + k, x + k + 15))
+        x += 17
+    got = passages.chain(sorted(parts))
+    assert sorted(map(len, got)) == [1, 4] and sorted(sum(got, [])) == sorted(parts)
+
+
 def test_passages(spark, awkward):
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
