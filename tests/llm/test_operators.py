@@ -75,6 +75,24 @@ def test_chains_after_a_long_stretch():
     assert sorted(map(len, got)) == [1, 4] and sorted(sum(got, [])) == sorted(parts)
 
 
+def test_fuzzy_passages_are_found(spark):
+    """60- and 100-word passages with a share of the words changed, among others; 25 % of 60 leaves few to anchor at."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows, n = [], 60
+    for k in range(6 * n):
+        size, changed = ((60, 3), (60, 6), (60, 9), (60, 12), (100, 10), (100, 20))[k % 6]
+        shared = [word() for _ in range(size)]
+        at = set(r.sample(range(size), changed))
+        for i, p in enumerate((shared, [word() if j in at else w for j, w in enumerate(shared)])):
+            rows.append((2 * k + i, " ".join([*(word() for _ in range(80)), *p, *(word() for _ in range(80))])))
+    got = {(x.id, x.other_id) for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = [sum((2 * k + 1, 2 * k) in got for k in range(c, 6 * n, 6)) / n for c in range(6)]
+    print("recall", recall)
+    assert all(a >= b for a, b in zip(recall, (1.0, 0.95, 0.85, 0.65, 1.0, 0.95))), recall
+    assert all(a - b == 1 and b % 2 == 0 for a, b in got)
+
+
 def test_passages(spark, awkward):
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
