@@ -93,6 +93,18 @@ def test_fuzzy_passages_are_found(spark):
     assert all(a - b == 1 and b % 2 == 0 for a, b in got)
 
 
+def test_passages_with_split_hubs(spark):
+    """Documents 1 and 2 hold a half each, 3 to 5 hold all: the passage is reported of 4 and 5."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    for size in (50, 60):
+        p = [word() for _ in range(size)]
+        held = {1: p[:35], 2: p[25:], 3: p, 4: p, 5: p}
+        rows = [(k, " ".join([*(word() for _ in range(70 + k)), *part, *(word() for _ in range(90))])) for k, part in held.items()]
+        got = {(x.id, x.other_id, x.start_word, x.n_words, x.identity) for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {(4, 3, 74, size, 1.0), (5, 3, 75, size, 1.0)}
+
+
 def test_passages(spark, awkward):
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
