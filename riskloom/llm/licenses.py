@@ -4,7 +4,8 @@ Words are ``[a-z0-9]+`` of the lower-cased text, shingles GRAM consecutive words
 one every STRIDE, so that every stretch of up to WINDOW - STRIDE + 1 words, and so every template, lies within one of them.
 A window and a template collide if they agree in one of BANDS minima of one hash each: a template of the least length,
 whole in a window, has similarity 4/23 or more to it and is missed with probability (19/23)**BANDS < 2e-5.  A collision counts
-once the template's shingles are contained in the window's to CONTAINMENT or more, which is worked out exactly.
+once the template's shingles are contained in the window's to CONTAINMENT or more, which is worked out exactly, and all of
+its shingles with a number are: a text with another version is another license's.
 
 Minima are only worked out for windows in which at least NEED positions hold a shingle of some template.  No other
 window can pass the containment test, as every template needs that many; nothing is lost by it.
@@ -58,20 +59,27 @@ def shingles(text: Column) -> Column:
     return _let(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), ""), _shingles)
 
 
+def versions(text: Column) -> Column:
+    """Hashes of the shingles that hold a word with a digit: those that tell a license's versions apart."""
+    words = F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
+    told = _let(words, lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - GRAM), lambda i: F.array_join(F.slice(w, i + 1, GRAM), " ").rlike("[0-9]")))
+    return F.array_distinct(F.transform(told, lambda i: F.get(shingles(text), i)))
+
+
 def minima(hashes: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda band: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, band))))
 
 
 def catalogue(spark: SparkSession, templates: tuple = TEMPLATES) -> tuple[DataFrame, list[int], int]:
-    """(template, license, need, own, band, least), BANDS rows a template; all shingles; the least number that a match needs."""
+    """(template, license, own, must, band, least), BANDS rows a template; all shingles; the least number that a match needs."""
     for _, t in templates:
         size = len(re.findall("[a-z0-9]+", t.lower()))
         if not 5 <= size <= WINDOW - STRIDE + 1:
             raise ValueError(f"a template has 5 to {WINDOW - STRIDE + 1} words, not {size}: {t}")
     rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.lit(t).alias("text")) for k, (name, t) in enumerate(templates)])))
-    rows = rows.withColumn("own", F.array_distinct(shingles(F.col("text"))))
+    rows = rows.withColumn("own", F.array_distinct(shingles(F.col("text")))).withColumn("must", versions(F.col("text")))
     known = rows.select("own").collect()  # the catalogue is a parameter, not data
-    bands = rows.select("template", "license", "own", F.posexplode(minima(F.col("own"))).alias("band", "least"))
+    bands = rows.select("template", "license", "own", "must", F.posexplode(minima(F.col("own"))).alias("band", "least"))
     return bands, sorted({h for r in known for h in r["own"]}), min(math.ceil(CONTAINMENT * len(r["own"])) for r in known)
 
 
@@ -89,7 +97,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seen = rows.select("id", (F.col("w.at") * STRIDE).alias("word"), F.col("w.own").alias("held"), F.posexplode(minima(F.col("w.own"))).alias("band", "least"))
     hits = seen.join(F.broadcast(bands), ["band", "least"])  # BANDS rows for each template of the catalogue
     share = F.size(F.array_intersect("own", "held")) / F.size("own")
-    found = hits.select("id", "license", "word", share.alias("share")).where(F.col("share") >= CONTAINMENT)
+    found = hits.select("id", "license", "word", share.alias("share"), (F.size(F.array_except("must", "held")) == 0).alias("told")).where((F.col("share") >= CONTAINMENT) & F.col("told"))
     return found.groupBy("id", "license").agg(F.max("share").alias("containment"), F.min("word").alias("first_word"), F.count_distinct("word").alias("windows"))
 
 

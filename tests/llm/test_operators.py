@@ -141,6 +141,12 @@ def test_secrets(awkward, docs):
     assert secrets.redact("a token=abcdef b", secrets.findings("a token=abcdef b")) == "a [SECRET] b"
 
 
+def test_license_versions_are_told_apart(spark):
+    texts = {1: "This work is licensed under the GNU General Public License, version 2.", 2: "This work is licensed under the GNU General Public License, version 3.", 3: "Licensed under the Apache License, Version 1.1.", 4: "This is licensed under the GNU General Public License, version 3."}
+    got = {(r.id, r.license) for r in licenses.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {(2, "GPL-3.0"), (4, "GPL-3.0")}
+
+
 def test_licenses(spark, awkward):
     filler = " ".join(f"filler{k}" for k in range(40))
     df = spark.createDataFrame([(1, f"{filler} Released under the MIT License. {filler}"), (2, f"{filler} licensed under nothing"), (3, "Licensed under CC BY-NC 4.0."), (4, f"{filler} LICENSED, under the Apache license - version 2.0 {filler}")], "doc_id long, text string")
