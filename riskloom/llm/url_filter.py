@@ -1,8 +1,8 @@
 """URL filters: ordered allow and block rules, and gradient-boosted trees on lexical features for all other addresses.
 
 A rule is ``host/path``; it fits its host and all subdomains if the address's path starts with the rule's; the longest that
-fits wins.  Addresses that a rule decides are the labelled ones: the trees learn from at most MAX_ROWS of them, those with the least
-hashes, and judge the rest.  Features: lengths, depth, digit ratio, entropy, parameter counts, and statistics of suffixes
+fits wins.  Addresses that a rule decides are the labelled ones: the trees learn from at most MAX_ROWS distinct ones, those with
+the least hashes of each verdict, half of either where both have as many, weighted by their copies, and judge the rest.  Features: lengths, depth, digit ratio, entropy, parameter counts, and statistics of suffixes
 (how common a last label or a last pair of labels is among all addresses, and how often it is blocked among labelled ones), by
 SUFFIXES hashed buckets, so that what the driver holds doesn't grow with the number of hosts.
 
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,16 +106,18 @@ class Trees:
         return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, l2: float = 1.0) -> Trees:
-    """Histogram boosting on logistic loss with second-order leaves."""
+def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, l2: float = 1.0, weight: np.ndarray | None = None) -> Trees:
+    """Histogram boosting on logistic loss with second-order leaves; rows count by ``weight`` (default: alike)."""
+    weight = np.ones(len(y)) if weight is None else weight
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
     binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)], 1)
-    base = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    bad = float((weight * y).sum())
+    base = float(np.log((bad + 1) / (weight.sum() - bad + 1)))
     margin, nodes = np.full(len(y), base), (1 << DEPTH) - 1
     d, feats, cuts, leaves = x.shape[1], [], [], []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        g, h = p - y, np.maximum(p * (1 - p), 1e-6)
+        g, h = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6)
         at, feature, cut = np.zeros(len(y), np.int64), np.zeros(nodes, np.int64), np.full(nodes, np.inf, np.float32)
         for level in range(DEPTH):
             first, width = (1 << level) - 1, 1 << level
@@ -161,9 +164,16 @@ def learn(pages: DataFrame, url_col: str = "url", rules: tuple = RULES) -> Filte
         blocked[r["kind"], r["bucket"]] = (r["bad"] + 10 * prior) / (r["known"] + 10)
     if not known or bad in (0, known):
         return Filter(common, blocked, None, "block" if known and bad else "allow")
-    sample = rows.where(F.col("__r").isNotNull()).select("url", "__p.host", "__p.path", "__b", F.col("__r.verdict").alias("v")).orderBy(F.xxhash64("url"), "url").limit(MAX_ROWS).toPandas()
+    # an address's verdict, host, path and buckets follow from the address, so copies are counted before anything is drawn
+    distinct = rows.where(F.col("__r").isNotNull()).groupBy("url").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(a) for c, a in (("__p.host", "host"), ("__p.path", "path"), ("__b", "__b"), ("__r.verdict", "v"))])
+    drawn = {v: distinct.where(F.col("v") == v).orderBy(F.xxhash64("url"), "url").limit(MAX_ROWS).toPandas() for v in ("allow", "block")}
+    rooms = {v: max(MAX_ROWS // 2, MAX_ROWS - len(drawn[other])) for v, other in (("allow", "block"), ("block", "allow"))}
+    drawn = {v: d.head(rooms[v]) for v, d in drawn.items()}
+    # rows that each address of the sample stands for
+    weight = np.concatenate([drawn[v].n.to_numpy(float) * (rows_of / drawn[v].n.sum()) for v, rows_of in (("allow", known - bad), ("block", bad))])
+    sample = pd.concat([drawn["allow"], drawn["block"]], ignore_index=True)
     x = lexical(*(pa.array(sample[c], pa.string()) for c in ("url", "host", "path")), np.array(sample["__b"].tolist()), common, blocked)
-    return Filter(common, blocked, grow(x, (sample.v == "block").to_numpy(float)), "allow")
+    return Filter(common, blocked, grow(x, (sample.v == "block").to_numpy(float), weight=weight / weight.mean()), "allow")
 
 
 def judge(pages: DataFrame, model: Filter, url_col: str = "url", keep: list[str] | None = None, rules: tuple = RULES) -> DataFrame:

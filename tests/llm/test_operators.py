@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.llm import chat, decontaminate, fingerprints, licenses, mixing, near_dedup, passages, quality, secrets, store, url_filter
 
@@ -227,6 +229,22 @@ def test_near_dedup(spark, awkward):
     assert near_dedup.near_duplicates(awkward.limit(0)).count() == 0
 
 
+def test_url_filter_learns_beside_a_large_group_of_copies(spark, monkeypatch):
+    """Copies of one address, more than the sample holds, leave room for the other addresses and for the other verdict."""
+    monkeypatch.setattr(url_filter, "MAX_ROWS", 200)
+    rows = [(f"https://a{k}.example.org/{'en/1' if k % 2 else 'fr/'}{k}",) for k in range(300)]
+    least = spark.createDataFrame(rows, "url string").orderBy(F.xxhash64("url")).first().url
+    pages = spark.createDataFrame(rows + [(least,)] * 1000, "url string")
+    seen = []
+    grow = url_filter.grow
+    monkeypatch.setattr(url_filter, "grow", lambda x, y, **k: (seen.append((len(y), y.sum(), k["weight"])), grow(x, y, **k))[1])
+    model = url_filter.learn(pages)
+    (n, bad, weight), = seen
+    assert (n, bad) == (200, 100) and weight.max() > 100 * np.median(weight)
+    free = {r.url: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "url string"), model, rules=()).collect()}
+    assert sum(free[u] == ("block" if "/en/1" in u else "allow") for (u,) in rows) > 285
+
+
 def test_url_filter(spark):
     pages = store.table(spark, "/root/testdata/sf0.1", "pages")
     model = url_filter.learn(pages)
