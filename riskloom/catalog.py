@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.plans import detectors, results  # noqa: F401
+from riskloom.plans import content, detectors, results  # noqa: F401
 from riskloom.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
