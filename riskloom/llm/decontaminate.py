@@ -6,8 +6,9 @@ Documents' fingerprints are joined to the benchmark's, and each hit is extended
 it, which are looked up exactly.  An item of m < SPAN words is one window of m words: for these, all m-word hashes are
 fingerprints.
 
-The benchmark is held in blocks of at most ``block_bytes`` of text, measured before it is read; every block is
-matched against all documents, and with more than one the blocks' hits are merged by document.  No document text is shuffled.
+The benchmark is read in blocks of about ``block_bytes`` of text, measured before it is read; every block is matched against
+all documents.  With more than one, only one block at a time is in the driver and in the executors: its hits are written before the
+next is read, and the blocks' hits are merged by document.  No document text is shuffled.
 
 Defined results: null or wordless texts have no words and hit nothing; items without words match nothing; a null
 item id counts as ``null``; equal ids count once; repeated rows give repeated rows.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -106,9 +108,9 @@ class Block:
             yield size, at[inside], key[inside]
 
 
-def _scan(batch: pa.RecordBatch, column: int, block: Block) -> Iterator[tuple]:
+def _scan(column: pa.Array, block: Block) -> Iterator[tuple]:
     """For each row: number of words, which words are hit (first and end of each stretch), items."""
-    b, off = text.raw(batch.column(column))
+    b, off = text.raw(column)
     for i, j in text.runs(off):
         h, w = text.words(b[off[i] : off[j]], off[i : j + 1] - off[i], text.NOT_ALNUM)
         cover, pairs = np.zeros(len(h) + 1, np.int64), [np.zeros((0, 2), np.int64)]
@@ -165,33 +167,31 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: i
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
     """The columns ``keep`` of docs (default: all), then SCHEMA's, named with the prefix; a kept column of the same name gives way."""
-    spark = docs.sparkSession
-    schema = ", ".join(f"{prefix}{x}" for x in SCHEMA.split(", "))
-    own = {x.split()[0] for x in schema.split(", ")}
-    keep = [c for c in (keep or docs.columns) if c not in own]
-    fields = [f for f in docs.schema.fields if f.name in keep]
-    keep = [f.name for f in fields]
-    kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
-    blocks = list(blocks_of(benchmark, item_col, item_text_col, block_bytes)) or [[]]
-    if len(blocks) == 1:
-        block = spark.sparkContext.broadcast(Block(blocks[0]))
-
-        def run(batches):
-            for batch in batches:
-                out = [_result(*x) for x in _scan(batch, len(keep), block.value)]
-                if out:
-                    cols = [pa.array(c, k) for c, k in zip(zip(*out), [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()])]
-                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=[*keep, *(x.split()[0] for x in schema.split(", "))])
-
-        return rows.mapInArrow(run, f"{kept_schema}, {schema}")
-    return _many(rows, keep, blocks).select(*[F.col(f"`{c}`") for c in keep], *[F.col("__" + x.split()[0]).alias(prefix + x.split()[0]) for x in SCHEMA.split(", ")])
-
-
-def _many(rows: DataFrame, keep: list[str], blocks: list) -> DataFrame:
-    """Each block against all documents; hits come together by document (a digest of the row), at most one row a block."""
+    store.lean(docs.sparkSession)
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    own = {prefix + x for x in names}
+    kept = [F.col(f"`{c}`") for c in (keep or docs.columns) if c not in own]
+    blocks = blocks_of(benchmark, item_col, item_text_col, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is not None:
+        return _many(docs.select(*kept, F.col(text_col).alias("__text")), chain([first, second], blocks), prefix)
+    block = docs.sparkSession.sparkContext.broadcast(Block(first))
+    schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()])))
+
+    def of(column: pa.Array) -> pa.Array:
+        out = [_result(*x) for x in _scan(column, block.value)]
+        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], names=names)
+
+    found = text.column_function(of, "struct<" + SCHEMA.replace(" long", ":bigint").replace(" string", ":string").replace(" boolean", ":boolean").replace(", ", ",") + ">")
+    return docs.select(*kept, found(F.col(text_col)).alias("__found")).select(*kept, *[F.col(f"__found.{x}").alias(prefix + x) for x in names])
+
+
+def _many(rows: DataFrame, blocks: Iterator[list], prefix: str) -> DataFrame:
+    """One block after the other against all documents; only one is held at a time, its hits are written before the next is read.
+    Hits come together by document (a digest of the row), at most one row a block."""
     spark = rows.sparkSession
-    key = F.sha2(F.concat(*[F.coalesce(F.concat(F.lit("+"), F.to_json(F.struct(F.col(f"`{c}`")))), F.lit("-")) for c in [*keep, "__text"]]), 256)
+    keep = [c for c in rows.columns if c != "__text"]
+    key = F.sha2(F.concat(*[F.coalesce(F.concat(F.lit("+"), F.to_json(F.struct(F.col(f"`{c}`")))), F.lit("-")) for c in rows.columns]), 256)
     rows = rows.withColumn("__key", key)
     hits = None
     for k, items in enumerate(blocks):
@@ -199,11 +199,13 @@ def _many(rows: DataFrame, keep: list[str], blocks: list) -> DataFrame:
 
         def run(batches, block=block, k=k):
             for batch in batches:
-                out = [(key, n, list(map(int, s)), list(map(int, e)), list(i)) for key, (n, s, e, i) in zip(batch.column(len(keep) + 1).to_pylist(), _scan(batch, len(keep), block.value)) if k == 0 or len(i)]
+                out = [(key, n, list(map(int, s)), list(map(int, e)), list(i)) for key, (n, s, e, i) in zip(batch.column(0).to_pylist(), _scan(batch.column(1), block.value)) if k == 0 or len(i)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())])], names=["__key", "n", "s", "e", "i"])
 
-        part = rows.mapInArrow(run, "__key string, n long, s array<long>, e array<long>, i array<string>").dropDuplicates(["__key"])
+        part = rows.select("__key", "__text").mapInArrow(run, "__key string, n long, s array<long>, e array<long>, i array<string>")
+        part = store.put(part.dropDuplicates(["__key"]), "hits")
+        block.destroy()
         hits = part if hits is None else hits.unionByName(part)
 
     def merge(pdf):
@@ -212,7 +214,8 @@ def _many(rows: DataFrame, keep: list[str], blocks: list) -> DataFrame:
         return type(pdf)({"__key": [pdf["__key"].iloc[0]], "__n_words": [n], "__n_hit": [hit], "__n_items": [items], "__items_sha256": [sha], "__contaminated": [bad]})
 
     merged = hits.groupBy("__key").applyInPandas(merge, ", ".join(["__key string", *(f"__{x}" for x in SCHEMA.split(", "))]))
-    return rows.drop("__text").join(merged, "__key").drop("__key")
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    return rows.drop("__text").join(merged, "__key").select(*[F.col(f"`{c}`") for c in keep], *[F.col("__" + x).alias(prefix + x) for x in names])
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def features(column: pa.Array) -> np.ndarray:
 
 
 def _per_row(on: np.ndarray, off: np.ndarray) -> np.ndarray:
-    c = np.concatenate([np.zeros(1, np.int64), np.cumsum(on, dtype=np.int64)])
+    c = np.concatenate([np.zeros(1, np.int32), np.cumsum(on, dtype=np.int32)])
     return c[off[1:]] - c[off[:-1]]
 
 
@@ -62,16 +62,17 @@ def _distinct(h: np.ndarray, off: np.ndarray) -> np.ndarray:
 def _features(b: np.ndarray, off: np.ndarray, out: np.ndarray) -> None:
     rows, size = len(off) - 1, np.maximum(np.diff(off), 1)
     kind = _CLASS[b]
-    row = np.repeat(np.arange(rows), np.diff(off))
-    out[:, :8] = np.bincount(row * 8 + kind, minlength=8 * rows).reshape(rows, 8) / size[:, None]
-    two = kind[:-1] * 8 + kind[1:] if len(kind) else kind
-    two = np.append(two, 0) if len(kind) else two
+    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(off))
+    for k in range(8):
+        out[:, k] = _per_row(kind == k, off) / size
+    two = np.zeros_like(kind)
+    two[:-1] = kind[:-1] * 8 + kind[1:]
     at = 8
     for x, y in _PAIRS:
         out[:, at] = _per_row(two == x * 8 + y, off) / size
         at += 1
     where = np.flatnonzero(kind == 6)
-    marks = np.bincount(row[where] * 256 + b[where], minlength=256 * rows).reshape(rows, 256)
+    marks = np.bincount(row[where].astype(np.int64) * 256 + b[where], minlength=256 * rows).reshape(rows, 256)
     out[:, at : at + len(_MARKS)] = marks[:, list(_MARKS)] / size[:, None]
     at += len(_MARKS)
     h, w = text.words(b, off, text.BLANK)
@@ -197,17 +198,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, net: Net | None, text_col: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
     """The columns ``keep`` (default: all) and the score; a column named like the score gives way."""
-    keep = [c for c in (keep or docs.columns) if c != out]
-    kinds = dict(zip(docs.columns, [f.dataType for f in docs.schema.fields]))
-
-    def run(batches):
-        for batch in batches:
-            x = features(batch.column(len(keep)))
-            s = np.full(len(x), 0.5) if net is None else net.score(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s, pa.float64())], names=[*keep, out])
-
-    schema = ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text")).mapInArrow(run, f"{schema}, `{out}` double")
+    store.lean(docs.sparkSession)
+    kept = [F.col(f"`{c}`") for c in (keep or docs.columns) if c != out]
+    scored = text.column_function(lambda t: pa.array(net.score(features(t)), pa.float64()), "double")
+    return docs.select(*kept, (F.lit(0.5) if net is None else scored(F.col(text_col))).alias(out))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

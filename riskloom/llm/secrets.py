@@ -122,31 +122,33 @@ def _has_hex(column: pa.Array, least: int = 24) -> np.ndarray:
     return out
 
 
-def scan_secrets(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, redacted: str | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all) and ``found``; with ``redacted``, that kept string column has the text with its
-    findings replaced.  A column named ``found`` gives way."""
-    keep = [c for c in (keep or df.columns) if c != "found"]
-    kinds = dict(zip(df.columns, [f.dataType for f in df.schema.fields]))
-    fields = ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in keep)
-    to = keep.index(redacted) if redacted else -1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
-        for batch in batches:
-            _, off = text.raw(batch.column(len(keep)))
-            for i, j in text.runs(off, 4 * text.PIECE):
-                part = batch.slice(i, j - i)
-                column = part.column(len(keep))
-                found, texts = [], []
-                for t, x in zip(column.to_pylist(), _has_hex(column)):
-                    spans = findings(t, bool(x))
-                    found.append([{"kind": KINDS[k], "start": s, "stop": e} for s, k, e in spans])
-                    if redacted:
-                        texts.append(redact(t, spans))
-                columns = [part.column(c) if c != to else pa.array(texts, pa.string()) for c in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], names=[*keep, "found"])
-
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text")).mapInArrow(run, f"{fields}, found {FOUND}")
+def _found(column: pa.Array, marked: bool) -> pa.Array:
+    """Findings of each text; with ``marked``, the redacted text of those that have any."""
+    _, off = text.raw(column)
+    parts = []
+    for i, j in text.runs(off, 4 * text.PIECE):
+        part = column.slice(i, j - i)
+        found, texts = [], []
+        for t, x in zip(part.to_pylist(), _has_hex(part)):
+            spans = findings(t, bool(x))
+            found.append([{"kind": KINDS[k], "start": s, "stop": e} for s, k, e in spans])
+            texts.append(redact(t, spans) if marked and spans else None)
+        parts.append(pa.StructArray.from_arrays([pa.array(found, _SPANS), pa.array(texts, pa.string())], names=["found", "redacted"]))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("found", _SPANS), ("redacted", pa.string())]))
+
+
+_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+
+
+def scan_secrets(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, redacted: str | None = None, out: str = "found") -> DataFrame:
+    """The columns ``keep`` (default: all) and the findings, in a column named ``out``; with ``redacted``, that kept column has the text
+    with its findings replaced.  A column named as ``out`` gives way."""
+    store.lean(df.sparkSession)
+    keep = [c for c in (keep or df.columns) if c != out]
+    scan = text.column_function(lambda t: _found(t, redacted is not None), f"struct<found:{FOUND},redacted:string>")
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"), scan(F.col(text_col)).alias("__scan"))
+    mine = lambda c: F.when(F.col("__scan.redacted").isNotNull(), F.col("__scan.redacted")).otherwise(F.col("__text")).alias(c)
+    return rows.select(*[mine(c) if c == redacted else F.col(f"`{c}`") for c in keep], F.col("__scan.found").alias(out))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch at most; texts make batches large, and each task holds two.
+BATCH_ROWS = 1000
+
+
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the cluster names it; only where that is unset, a folder of our own (local runs)."""
+    """``spark.checkpoint.dir`` as the cluster names it; only where that is unset, a folder of our own, which needs a local master:
+    executors elsewhere would write to their own disks and rows would be lost."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(folder, "own"):
         folder.own = "file://" + tempfile.mkdtemp(prefix="riskloom-")
     return folder.own
@@ -21,6 +28,7 @@ def folder(spark: SparkSession) -> str:
 def put(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet under a fresh name and returns it as read back."""
     spark = df.sparkSession
+    lean(spark)
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
@@ -42,5 +50,13 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def lean(spark: SparkSession) -> None:
+    """Makes the session's Arrow batches small enough for long texts."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,12 +7,13 @@ by a bijective mixer.  Nulls count as empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
@@ -189,5 +190,17 @@ def seeds(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return r.integers(1, 1 << 63, count, dtype=np.uint64) * U(2) + U(1), r.integers(0, 1 << 63, count, dtype=np.uint64)
 
 
+def column_function(of: Callable[[pa.Array], pa.Array], kind: str):
+    """A function of text columns: only the text goes to Python and only what ``of`` makes of it comes back; the rest of each row
+    stays in the JVM.  Marked as not deterministic, so that no filter or projection has it worked out twice."""
+
+    def run(t: pa.Array) -> pa.Array:
+        out = of(t)
+        pa.default_memory_pool().release_unused()
+        return out
+
+    return F.arrow_udf(run, kind).asNondeterministic()
+
+
 def list_column(values: np.ndarray, off: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values))
