@@ -3,23 +3,30 @@
 Each stage takes what the one before kept and returns the columns of its input; the last adds ``copies``.
 
 * quality: documents that the positive-unlabelled classifier scores below its threshold go.
-* near_dedup: one document of each group of near duplicates stays, the one of least id; of rows with one id, the first by text.
+* near_dedup: one document of each group of near duplicates stays, the one of least id; of rows with one id, the first by text,
+  then by the other columns.  Documents without words are no duplicates of each other and stay.
 * decontaminate: documents that hold a passage of the benchmark go.
 * secrets: findings are replaced by a mark; no document goes.
 * mix: documents of 0 copies go; the others carry how many copies the mix takes.  Rows with a null id, which no
-  result can address, stay as they are (in the mix: once).
+  result can address, stay as they are (in the mix: once).  Rows of one id each get copies of their own.
+
+Defined results: a null text counts as empty; empty texts are scored like any other, hit no benchmark item and have size 0; texts of
+any length are read whole; equal rows are kept or dropped alike, but for near_dedup, which keeps one; empty tables give empty results.
+Columns besides doc_id, text, source and n_chars pass unchanged whatever their names; only a column ``copies`` gives way in the mix, and
+names that begin with two underscores are the stages' own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import decontaminate, mixing, near_dedup, quality, secrets, store
 
 
-def _numbered(df: DataFrame, id_col: str, *order: str) -> DataFrame:
-    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(id_col).orderBy(*order)))
+def _repeated(docs: DataFrame) -> DataFrame:
+    """Ids that more than one row has (written, so that its size is known)."""
+    return store.put(docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id"), "repeated")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,31 +37,42 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_dedup.near_duplicates(docs)
     kept = groups.where(F.col("kept") & F.col("id").isNotNull()).select(F.col("id").alias("__id")).distinct()
-    known = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = _numbered(known, "doc_id", "text", *[c for c in rest if not dict(docs.dtypes)[c].startswith("map")]).where("__nth = 1").drop("__nth")
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    known = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    again = _repeated(docs)
+    if again.isEmpty():
+        return known
+    # least row of each repeated id; a partial aggregation, so each task sends one row an id
+    kinds = dict(docs.dtypes)
+    ordered = [c for c in ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))] if "map<" not in kinds[c]]
+    maps = [c for c in docs.columns if c != "doc_id" and c not in ordered]
+    same = F.col("doc_id") == F.col("__id")
+    row = F.struct(*[F.col(f"`{c}`") for c in [*ordered, *maps]])
+    least = F.min_by(row, F.struct(*[F.col(f"`{c}`") for c in ordered])) if maps else F.min(row)
+    one = known.join(again, same, "left_semi").groupBy("doc_id").agg(least.alias("__row"))
+    one = one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"__row.`{c}`") for c in docs.columns])
+    return known.join(again, same, "left_anti").unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(docs, store.table(spark, sf_dir, "benchmark"), prefix="__d_")
-    return found.where(~F.col("__d_contaminated")).select(*docs.columns)
+    return found.where(~F.col("__d_contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = secrets.scan_secrets(docs, redacted="text")
+    out = secrets.scan_secrets(docs, redacted="text", out="__found")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.size("__found") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = _numbered(mixing.mix(docs).where(F.col("id").isNotNull()).select("id", "copies", "size"), "id", "size", "copies")
-    taken = taken.select(F.col("id").alias("__id"), F.col("__nth").alias("__of"), F.col("copies").alias("__copies"))
-    known = _numbered(docs.where(F.col("doc_id").isNotNull()), "doc_id", "text")
-    known = known.join(taken, (F.col("doc_id") == F.col("__id")) & (F.col("__nth") == F.col("__of"))).where("__copies > 0")
+    key, rows = "doc_id", docs
+    if not _repeated(docs).isEmpty():  # copies belong to rows, so rows get numbers of their own, fixed by being written
+        key, rows = "__row", store.put(docs.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "numbered")
+    taken = mixing.mix(rows, id_col=key).where(F.col("id").isNotNull() & (F.col("copies") > 0)).select(F.col("id").alias("__id"), F.col("copies").alias("__copies"))
     columns = [F.col(f"`{c}`") for c in docs.columns if c != "copies"]
-    return known.select(*columns, F.col("__copies").alias("copies")).unionByName(docs.where(F.col("doc_id").isNull()).select(*columns, F.lit(1).alias("copies")))
+    known = rows.join(taken, F.col(key) == F.col("__id")).select(*columns, F.col("__copies").alias("copies"))
+    return known.unionByName(rows.where(F.col("doc_id").isNull()).select(*columns, F.lit(1).alias("copies")))
 
 
 STAGES = [("quality", keep_quality), ("near_dedup", keep_one_of_each), ("decontaminate", drop_contaminated), ("secrets", redact_secrets), ("mix", mix_sources)]
