@@ -95,3 +95,70 @@ def scripts(html: Column) -> dict[str, Column]:
         "n_eval": count(r"\beval\s*\("), "n_unescape": count(r"\b(?:unescape|decodeURIComponent)\s*\("),
         "right_click_disabled": html.rlike("(?i)oncontextmenu\\s*=\\s*[\"'][^\"']*return\\s+false") | (inline.contains("oncontextmenu") & inline.rlike(r"(?i)return\s+false")),
     }
+
+
+def content_hashes(html: Column) -> dict[str, Column]:
+    """Hashes of a page for three uses: as it is, without scripts and with blanks evened out, and of its body alone; null for null."""
+    even = lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))
+    bare = F.regexp_replace(html, r"(?i)<script[\s\S]*?</script>", "")
+    inside = F.regexp_extract(bare, r"(?i)<body[\s\S]*?>([\s\S]*)</body>", 1)
+    body = F.when(bare.rlike(r"(?i)<body[\s\S]*?>[\s\S]*</body>"), inside).otherwise(bare)
+    return {"raw_hash": F.sha2(html, 256), "content_hash": F.sha2(even(F.regexp_replace(html, r"(?i)<script[^>]*>[\s\S]*?</script>", "")), 256), "body_hash": F.sha2(even(body), 256)}
+
+
+def offline_scripts(html: Column) -> dict[str, Column]:
+    """H6, H8-H11 as the offline extractor reads them: by patterns over the whole markup; null for null."""
+    inside = F.array_join(F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1)), lambda s: F.trim(s) != ""), " ")
+    count = lambda t, p: F.regexp_count(t, F.lit(p)).cast("long")
+    lower = F.lower(html)
+    return {
+        "n_eval": count(inside, r"\beval\s*\("), "n_unescape": count(inside, r"\b(?:unescape|decodeURIComponent)\s*\("), "right_click_disabled": html.rlike("(?i)oncontextmenu\\s*=\\s*[\"'][^\"']*return\\s+false"),
+        "handler_empty": lower.contains('action=""') | html.contains("action=''"), "handler_blank": lower.contains("about:blank"), "has_favicon": html.rlike("(?i)<link[^>]+rel\\s*=\\s*[\"'](?:shortcut\\s+)?icon[\"']"),
+        "n_hidden": count(html, "(?i)<input[^>]+type\\s*=\\s*[\"']hidden[\"']"),
+    }
+
+
+_UNSEEN = {"script", "style", "noscript", "template", "svg", "canvas", "title"}
+
+
+class _Words(HTMLParser):
+    """Text nodes, each on its own."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.title, self.said, self.silent = [], [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _UNSEEN:
+            self.silent.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        return
+
+    def handle_endtag(self, tag):
+        if tag in self.silent:
+            del self.silent[self.silent.index(tag) :]
+
+    def handle_data(self, data):
+        t = " ".join(data.split())
+        if t and (not self.silent or self.silent == ["title"]):
+            (self.title if self.silent else self.said).append(t)
+
+
+def _spoken(html) -> str | None:
+    if html is None:
+        return None
+    p = _Words()
+    p.feed(html)
+    p.close()
+    return " ".join([*p.title, *p.said])
+
+
+def offline_text(html: Column) -> Column:
+    """H7 as the offline extractor reads it: the title, then every text node with blanks evened out, joined by blanks; null for null."""
+
+    @F.pandas_udf("string")
+    def read(pages: pd.Series) -> pd.Series:
+        return pages.map(_spoken)
+
+    return read(html)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,13 +12,19 @@ from riskloom import config
 from riskloom.functions import actions
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value worked out once, also where it is used for each element of an array."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def total(columns) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
 def hits(text: Column, words) -> Column:
     """How many of the words the text contains."""
-    return total(text.contains(w).cast("int") for w in words)
+    count = lambda t: F.when(t.isNotNull(), F.size(F.filter(F.from_json(F.lit(json.dumps(list(words))), "array<string>"), lambda w: F.contains(t, w))))
+    return let(text, count)
 
 
 def pattern_hits(text: Column, patterns) -> Column:
@@ -38,6 +45,18 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def suffixes(host_: Column) -> Column:
+    """A host and all domains above it, the longest first."""
+    labels = F.split(host_, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def registered(host_: Column) -> Column:
+    """The last two labels, three where the last two are a known pair; an IP address is its own."""
+    two = F.substring_index(host_, ".", -2)
+    return F.when(is_ip(host_), host_).when(two.isin(*config.TWO_LABEL_TLDS), F.substring_index(host_, ".", -3)).otherwise(two)
+
+
 def is_ip(host_: Column) -> Column:
     return host_.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$")
 
@@ -56,27 +75,40 @@ def tld_risk(tld_: Column) -> Column:
     return out
 
 
+def with_suffix_risk(rows, suffix: str, scores, out: str = "risk"):
+    """Joins the offline statistics of suffixes (tld, risk); a suffix that isn't among them gets the greatest risk."""
+    known = scores.groupBy(F.col("tld").alias("__tld")).agg(F.max("risk").alias("__risk"))
+    most = known.agg(F.max("__risk").alias("__most"))
+    joined = rows.join(known, F.col(suffix) == F.col("__tld"), "left").join(F.broadcast(most))
+    return joined.withColumn(out, F.coalesce("__risk", "__most")).drop("__tld", "__risk", "__most")
+
+
 def entropy(text: Column) -> Column:
     """Shannon entropy by code point, in bits (F1)."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars)
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    return F.when(F.length(text) > 0, F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))).otherwise(0.0)
+    n = F.length(text)
+
+    def of(chars: Column) -> Column:
+        # characters in order: each one's run ends where the next one differs, so one pass after the sort counts all
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(chars, i - 1) != F.get(chars, i)))
+        runs = lambda e: F.transform(e, lambda to, k: (to - F.when(k > 0, F.get(e, k - 1)).otherwise(0)).cast("double") / n)
+        return let(ends, lambda e: F.aggregate(runs(e), F.lit(0.0), lambda a, x: a - x * F.log2(x)))
+
+    return F.when(n > 0, let(F.array_sort(F.filter(F.split(text, ""), lambda c: c != "")), of)).otherwise(0.0)
 
 
 def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
 
 
-def structure(url: Column, host_: Column) -> dict[str, Column]:
-    """Counts, ratios and flags of F1-F7."""
+def structure(url: Column, host_: Column, words: tuple[str, ...] = config.SENSITIVE_WORDS) -> dict[str, Column]:
+    """Counts, ratios and flags of F1-F7; ``words`` are those of the online or of the offline variant of F5."""
     n, lower = F.length(url), F.lower(url)
     count = lambda p: F.regexp_count(url, F.lit(p)).cast("long")
     return {
         "url_length": n.cast("long"), "entropy": F.round(entropy(url), 4), "digit_ratio": F.round(ratio(count("[0-9]"), n), 4), "letter_ratio": F.round(ratio(count("[A-Za-z]"), n), 4),
         "n_dots": count(r"\."), "n_slashes": count("/"), "n_hyphens": count("-"), "n_equals": count("="), "n_question": count(r"\?"), "n_amp": count("&"), "n_percent": count("%"),
-        "n_double_slash": F.greatest(F.lit(0), count("//") - 1), "sensitive_words": hits(lower, config.SENSITIVE_WORDS).cast("long"), "has_at": url.contains("@"),
-        "prefix_suffix_hyphen": host_.contains("-") & (hits(host_, config.OBFUSCATION_BRANDS) > 0),
+        "n_double_slash": F.greatest(F.lit(0), count("//") - 1), "sensitive_words": hits(lower, words).cast("long"), "has_at": url.contains("@"),
+        "prefix_suffix_hyphen": registered(host_).contains("-") & (hits(registered(host_), config.OBFUSCATION_BRANDS) > 0),
     }
 
 
@@ -130,9 +162,7 @@ def parsed(url: Column) -> dict[str, Column]:
     """The parts of an address; ``registered`` is the last two labels, three for known pairs; nulls stay null."""
     u = normalised(url)
     h = host(u)
-    two = F.substring_index(h, ".", -2)
-    own = F.when(is_ip(h), h).when(two.isin(*config.TWO_LABEL_TLDS), F.substring_index(h, ".", -3)).otherwise(two)
-    p = path(u)
+    own, p = registered(h), path(u)
     return {
         "scheme": F.lower(F.regexp_extract(u, "^([A-Za-z]+):", 1)), "host": h, "path": F.when(p == "", "/").otherwise(p), "query": F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "registered": own,
         "subdomain": F.when(h == own, "").otherwise(F.substring(h, F.lit(1), F.length(h) - F.length(own) - 1)), "is_ip": is_ip(h), "is_localhost": h.isin("localhost", "127.0.0.1"),

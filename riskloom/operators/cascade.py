@@ -11,6 +11,22 @@ from riskloom import config
 from riskloom.operators import scoring
 
 
+def request_reason(url: Column, most: int = 2048) -> Column:
+    """Why an address can't be scanned; null if it can."""
+    return F.when(url.isNull() | (F.trim(url) == ""), "empty").when(F.length(url) > most, "too_long").when(~url.rlike("(?i)^https?://"), "scheme")
+
+
+def rank_bucket(rows: DataFrame, key: str, ranks: DataFrame | None, rank: str = "rank", cuts: tuple[tuple[int, str], ...] = ((1000, "top1k"), (10000, "top10k"))) -> DataFrame:
+    """Adds ``bucket`` by rank, ``none`` for keys that aren't listed; null for all without a list.  Only as many ranks as the last cut count."""
+    if ranks is None:
+        return rows.withColumn("bucket", F.lit(None).cast("string"))
+    known = ranks.where(F.col(rank) <= cuts[-1][0]).groupBy(F.col(key).alias("__key")).agg(F.min(rank).alias("__rank"))
+    bucket = F.lit("none")
+    for most, name in reversed(cuts):
+        bucket = F.when(F.col("__rank") <= most, name).otherwise(bucket)
+    return rows.join(known, F.col(key) == F.col("__key"), "left").withColumn("bucket", bucket).drop("__key", "__rank")
+
+
 def gate(rows: DataFrame, allowed: DataFrame, domain: str = "domain") -> DataFrame:
     """Adds ``fast_path`` and ``partial_match``: allowed domains pass, those where anyone can host only match in part.
 

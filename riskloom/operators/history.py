@@ -13,6 +13,33 @@ def ttl(verdict: Column) -> Column:
     return F.when(verdict == "MALICIOUS", config.TTL_SECONDS["MALICIOUS"]).otherwise(config.TTL_SECONDS["other"])
 
 
+def cache_key(url: Column) -> Column:
+    """Key of an address in the store."""
+    return F.sha2(F.concat(F.lit("scan:"), url), 256)
+
+
+def stamped(results: DataFrame, url: str, ts: str, version: int) -> DataFrame:
+    """Results as entries of the keyed store: key, when they expire, and the version of the features they hold."""
+    return results.withColumns({"cache_key": cache_key(F.col(url)), "expires": (F.col(ts).cast("timestamp") + F.make_dt_interval(secs=ttl(F.col("verdict")))), "cache_version": F.lit(version)})
+
+
+def put(entries: DataFrame, path: str, ts: str, order: str) -> None:
+    """Adds entries to a store of files; readers take each key's latest, and ``compact`` drops the rest."""
+    entries.write.mode("append").parquet(path)
+
+
+def compact(entries: DataFrame, ts: str, order: str, now: str) -> DataFrame:
+    """The store with one entry a key, the latest, and none that has expired."""
+    rest = [c for c in entries.columns if c != "cache_key"]
+    live = entries.where(F.col("expires") > F.lit(now).cast("timestamp"))
+    return live.groupBy("cache_key").agg(F.max_by(F.struct(*rest), F.struct(ts, order)).alias("e")).select("cache_key", "e.*")
+
+
+def of_version(entries: DataFrame, version: int) -> DataFrame:
+    """Entries whose features have the shape of this version; others, and those without one, count as absent."""
+    return entries.where(F.col("cache_version") == version)
+
+
 def latest(entries: DataFrame, key: str, ts: str, now: str, order: str) -> DataFrame:
     """The latest entry of each key that isn't expired at ``now``; max_by combines before the shuffle."""
     at = F.lit(now).cast("timestamp")

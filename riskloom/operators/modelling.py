@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions import actions, urls
+from riskloom.operators import profile
+
 _STEPS = 1 << 20
 
 
@@ -37,8 +40,7 @@ def masked(value: Column, id_: Column, share: float, seed: int) -> Column:
 
 def folds(df: DataFrame, label: str, id_: str, n: int = 5, seed: int = 42) -> DataFrame:
     """K3: adds ``fold`` from 0; the folds of a label differ by one row at most."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_).cast("string"))), id_)
-    return df.withColumn("fold", ((F.row_number().over(order) - 1) % n).cast("long"))
+    return profile.ranked(df, label, id_, seed).withColumn("fold", ((F.col("__rank") - 1) % n).cast("long")).drop("__rank", "__size")
 
 
 def group_holdout(group: Column, share: float, seed: int = 42) -> Column:
@@ -124,3 +126,39 @@ def importances(model, data: DataFrame, most: int = 20) -> list[tuple[str, float
     attrs = model.transform(data.limit(0)).schema["features"].metadata["ml_attr"]["attrs"]
     named = [(a.get("name", str(a["idx"])), float(model.stages[-1].featureImportances[a["idx"]])) for group in attrs.values() for a in group]
     return sorted(named, key=lambda f: (-f[1], f[0]))[:most]
+
+
+def known_columns(df: DataFrame, wanted: list[str], dropped: list[str] = ()) -> tuple[DataFrame, list[str]]:
+    """The wanted columns that exist, in that order, each once and without the dropped ones; and the names that don't exist."""
+    once = list(dict.fromkeys(wanted))
+    return df.select(*[F.col(f"`{c}`") for c in once if c in df.columns and c not in dropped]), [c for c in once if c not in df.columns]
+
+
+def clean_names(names: list[str]) -> list[str]:
+    """anything but letters, digits and _ becomes _; of names that become equal, later ones get a number."""
+    out: list[str] = []
+    for n in names:
+        clean = "".join(c if c.isascii() and c.isalnum() or c == "_" else "_" for c in n)
+        out.append(clean if clean not in out else next(f"{clean}_{k}" for k in range(1, len(names) + 1) if f"{clean}_{k}" not in out))
+    return out
+
+
+def encoded_alike(train: DataFrame, test: DataFrame, name: str, vocabulary: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both parts get the same columns for a name, from one vocabulary; what only the test rows have is no column."""
+    hot = lambda df: df.withColumns(one_hot(F.col(name), vocabulary, name)).drop(name)
+    return hot(train), hot(test)
+
+
+def mismatches(page_url: Column, form_action: Column, official: Column) -> dict[str, Column]:
+    """True, false or null (not known): whether the page, and where its form leads, lie outside the brand's domain."""
+    to = urls.host(actions.resolved_action(page_url, F.coalesce(form_action, F.lit(""))))
+    known = official.isNotNull()
+    return {
+        "brand_domain_known": known, "page_brand_domain_mismatch": F.when(known, ~actions.belongs(urls.host(page_url), official)),
+        "form_action_brand_domain_mismatch": F.when(known & (F.coalesce(to, F.lit("")) != ""), ~actions.belongs(to, official)),
+    }
+
+
+def saved(model, path: str) -> None:
+    """K9: writes a fitted pipeline; ``PipelineModel.load`` reads it."""
+    model.write().overwrite().save(path)

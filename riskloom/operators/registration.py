@@ -58,3 +58,8 @@ def repository_score(age_days: Column, commits: Column, has_password: Column, cr
     is_ = lambda c: F.coalesce(c, F.lit(False))
     score = F.when(is_(critical), 0.8).when(is_(has_password), 0.5).otherwise(0.0) + is_(cross_origin).cast("int") * 0.6 + is_(age_days < 7).cast("int") * 0.4 + is_(commits < 3).cast("int") * 0.3
     return {"critical_password": is_(critical), "repo_score": F.round(F.least(F.lit(1.0), score), 3)}
+
+
+def bounded_counts(commits: Column, contributors: Column) -> dict[str, Column]:
+    """A repository's commits and contributors as one page of each shows them: 10 and 5 at most."""
+    return {"commit_count": F.least(commits, F.lit(10)), "contributor_count": F.least(contributors, F.lit(5))}

@@ -35,10 +35,11 @@ def scan(pages: DataFrame, allowed: DataFrame | None = None, keep: tuple[str, ..
     rows = rows.withColumn("u", F.struct(*[c.alias(n) for n, c in urls.parsed(F.col("url")).items()])).withColumn("p", markup.page(F.col("html")))
     rows = rows.withColumn("said", F.when(F.col("html").isNotNull(), F.concat_ws(" ", "p.title", "p.visible_text", F.array_join("p.image_alts", " "), "p.meta_description")))
     host, page, m = F.col("u.host"), F.col("p"), F.col("m")
-    rows = rows.withColumn("near", brands.nearest(host, cat)).withColumn("flags", urls.obfuscation_flags(F.col("url"), host)).withColumn("brand", brands.primary(F.col("said"), cat))
-    off, squat, sound = brands.anchor_mismatch(page["anchors"], host, cat), brands.combosquat(host, F.col("brand"), cat), brands.sound_alike(host, F.col("brand"), cat)
+    rows = rows.withColumn("near", brands.nearest(host, cat)).withColumn("flags", urls.obfuscation_flags(F.col("url"), host)).withColumn("named", brands.mentions(F.col("said"), cat))
+    rows = rows.withColumn("brand", brands.page_brand(F.col("named"))).withColumn("off", brands.anchors_off(page["anchors"], host, cat))
+    squat, sound = brands.combosquat(host, F.col("brand"), cat), brands.sound_alike(host, F.col("brand"), cat)
     risk = urls.tld_risk(urls.tld(host))
-    mismatch = brands.composite([brands.page_mismatch(host, F.col("said"), cat), off["anchor_score"], F.col("near.score"), squat["combosquat_score"], sound["phonetic_score"], risk])
+    mismatch = brands.composite([brands.page_mismatch(host, F.col("named"), cat), brands.anchor_score(F.col("off")), F.col("near.score"), squat["combosquat_score"], sound["phonetic_score"], risk])
     forms = _forms(page["forms"])
     signals = {
         "urgency_keyword": scoring.patterns(page["visible_text"])["pattern_score"], "domain_mismatch": mismatch, "url_obfuscation": urls.flag_score(F.col("flags")), "form_password_field": page["n_password"] > 0,

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom import config
-from riskloom.functions import actions, markup, urls
-from riskloom.operators import brands, lexicon, registration
+from riskloom.functions import actions, markup
+from riskloom.operators import cascade, lexicon, registration
 from riskloom.sources import tables
 from riskloom.plans.queries import PHRASES, TEXT_CASES, _load, query
 
@@ -98,69 +98,41 @@ def A18_repository(spark, sf_dir):
     return rows.select("page_id", "r.owner", "r.repo", *[c.alias(k) for k, c in registration.repository_score(i % 40, i % 7, i % 3 == 0, i % 5 == 0, F.col("url")).items()])
 
 
-#: (host, text, layer 1, anchor score, n off, combosquat score, pattern, composite with layer 5 as in BRAND_LAYER_5)
-BRAND_CASES = (
-    ("www.paypal.com", "PayPal login", 0.0, 0.0, 0, 0.0, None, 0.0),
-    ("paypal-secure-login.com", "PayPal login", 0.95, 0.0, 0, 0.9, "paypal + secure + login", 0.425),
-    ("example.test", "Welcome to PayPal and Google", 0.7, 0.0, 0, 0.0, None, 0.25),
-    ("my-paypal-shop.test", "paypal", 0.85, 0.0, 0, 0.0, None, 0.305),
-    ("secure.google.evil.test", "nothing named", 0.0, 0.0, 0, 0.7, "google + secure", 0.075),
-    ("example.test", "", 0.0, 0.784, 4, 0.0, None, 0.201),
-)
-BRAND_ANCHORS = "array(named_struct('href', 'http://a.test/1', 'text', 'PayPal help'), named_struct('href', 'http://www.a.test/2', 'text', 'PayPal again'), named_struct('href', 'http://paypal-x.test', 'text', 'PayPal more'), named_struct('href', 'https://google.com/', 'text', 'PayPal'), named_struct('href', 'https://evil.test', 'text', 'Apple'), named_struct('href', 'https://www.paypal.com', 'text', 'PayPal'))"
+#: Forms, images and head elements put into each page's own markup, by its id; the rule is plain SQL of both engines.
+_FORM = """CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '<form action="/in' || CAST(page_id AS VARCHAR(20)) || '" method="POST"><input type="password" name="p"><input type="HIDDEN" name="h"></form>' WHEN 2 THEN '<form><input id="q"><input type="hidden"><input type="hidden"></form><form action="#"><input type="text"></form>'
+ELSE '<input type="password"><a href="javascript:go()">no</a><a href="#x">no</a><a href="https://a.test/' || CAST(page_id AS VARCHAR(20)) || '"> go on</a>' END || CASE page_id % 3 WHEN 0 THEN '<img src="i" alt="logo ' || CAST(page_id AS VARCHAR(20)) || '"><img alt=" ">' ELSE '' END"""
+_HEAD = """CASE page_id % 5 WHEN 0 THEN '<meta name="description" content="about ' || CAST(page_id AS VARCHAR(20)) || '">' WHEN 1 THEN '<link rel="shortcut icon" href="/i">' WHEN 2 THEN '<script>eval (unescape("x"));eval("y")</script>' ELSE '' END"""
+MARKUP = f"replace(replace(html, '</head>', {_HEAD} || '</head>'), '</article>', {_FORM} || '</article>')"
+_SEEN = r"regexp_replace(h, '(?is)<!--.*?-->|<head.*?</head>|<script.*?</script>|<style.*?</style>|<[^>]*>', '', 'g')"
+_PLAIN = "replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&')"
+_LINKS = r"list_filter(list_zip(regexp_extract_all(h, '<a href=\"([^\"]*)\">([^<]*)</a>', 1), regexp_extract_all(h, '<a href=\"([^\"]*)\">([^<]*)</a>', 2)), lambda z: NOT starts_with(z[1], '#') AND NOT starts_with(z[1], 'javascript:'))"
 
 
-def _brand(k: int) -> str:
-    return f"CASE page_id % {len(BRAND_CASES)} " + " ".join(f"WHEN {i} THEN " + ("NULL" if c[k] is None else repr(c[k])) for i, c in enumerate(BRAND_CASES)) + " END"
+def _number(pattern: str) -> str:
+    return f"len(regexp_extract_all(h, '{pattern}'))::BIGINT"
 
 
-@query(f"SELECT page_id, {_brand(2)}::DOUBLE AS page_score, {_brand(3)}::DOUBLE AS anchor_score, {_brand(4)}::BIGINT AS n_anchors_off, {_brand(5)}::DOUBLE AS combosquat_score, {_brand(6)} AS combosquat_pattern, {_brand(7)}::DOUBLE AS mismatch FROM pages")
-def A4_brand_mismatch(spark, sf_dir):
-    """Layers 1, 2, 4 and 6 of each case; layer 3 has a query of its own, layer 5 is given."""
-    k = F.col("page_id") % len(BRAND_CASES)
-    rows = _load(spark, sf_dir, "pages").select("page_id", F.expr(_brand(0)).alias("host"), F.expr(_brand(1)).alias("text"), F.expr(f"CASE WHEN page_id % {len(BRAND_CASES)} = 5 THEN {BRAND_ANCHORS} END").alias("anchors"))
-    l1, off, squat = brands.page_mismatch(F.col("host"), F.col("text")), brands.anchor_mismatch(F.col("anchors"), F.col("host")), brands.combosquat(F.col("host"), brands.primary(F.col("text")))
-    scored = rows.select("page_id", "host", l1.alias("page_score"), *[c.alias(n) for n, c in (off | squat).items()])
-    l5 = F.when(k.isin(1, 3), 0.05).otherwise(0.0)
-    mismatch = brands.composite([F.col("page_score"), F.col("anchor_score"), F.lit(0.0), F.col("combosquat_score"), l5, urls.tld_risk(urls.tld(F.col("host")))])
-    return scored.select("page_id", "page_score", "anchor_score", "n_anchors_off", "combosquat_score", "combosquat_pattern", mismatch.alias("mismatch"))
-
-
-#: Worked by hand from the formulas: (host, brand, similarity, score to three decimals).
-NEAREST = (("paypa1.com", "paypal", 0.9033, 0.558), ("g00gle.com", "google", 0.71, 0.006), ("faceb00k.test", "facebook", 0.8175, 0.245), ("www.paypal.com", "paypal", 1.0, 0.0), ("paypal.test", "paypal", 1.0, 1.0))
-
-
-def _nearest(k: int) -> str:
-    return f"CASE page_id % {len(NEAREST)} " + " ".join(f"WHEN {i} THEN {c[k]!r}" for i, c in enumerate(NEAREST)) + " END"
-
-
-@query(f"SELECT page_id, {_nearest(1)} AS brand, {_nearest(2)}::DOUBLE AS similarity, {_nearest(3)}::DOUBLE AS score FROM pages")
-def A7_nearest_domain(spark, sf_dir):
-    near = brands.nearest(F.expr(_nearest(0)))
-    return _load(spark, sf_dir, "pages").select("page_id", near.alias("n")).select("page_id", "n.brand", "n.similarity", F.round("n.score", 3).alias("score"))
-
-
-MARKUP = """'<html><head><title> Page ' || CAST(page_id AS STRING) || ' </title><meta name="description" content="about &amp; more"><link rel="shortcut icon" href="/i"><script>eval (unescape("x"))</script></head><body oncontextmenu="return false"><p>Hello <b>big</b>
- world</p><script>var hidden = 1;</script><a href="#top">top</a><a href="/next"> go <i>on</i></a><img alt=" logo "><form action="/post" method="POST"><input type="password" name="p"><input type="hidden" name="h">' || CASE WHEN page_id % 2 = 0 THEN '<input id="q">' ELSE '' END || '</form></body></html>'"""
-
-
-@query("""SELECT page_id, 'Page ' || CAST(page_id AS VARCHAR) AS title, 'about & more' AS description, 'Hello big worldtop go on' AS visible_text, 1::BIGINT AS n_password, 1::BIGINT AS n_hidden, CASE WHEN page_id % 2 = 0 THEN 3 ELSE 2 END::BIGINT AS n_inputs,
-'/next|go on' AS anchors, 'logo' AS alts, '/post post' AS form, true AS has_favicon, 1::BIGINT AS n_eval, 1::BIGINT AS n_unescape, true AS right_click_disabled FROM pages""")
+@query(f"""WITH m AS (SELECT page_id, {MARKUP} AS h FROM pages) SELECT page_id, trim({_PLAIN.format("regexp_extract(h, '(?is)<title>(.*?)</title>', 1)")}) AS title, regexp_extract(h, 'name="description" content="([^"]*)"', 1) AS description, trim(regexp_replace({_PLAIN.format(_SEEN)}, '\\s+', ' ', 'g')) AS visible_text,
+{_number('(?i)<input[^>]*type="password"')} AS n_password, {_number('(?i)<input[^>]*type="hidden"')} AS n_hidden, {_number("<form")} AS n_forms, CASE page_id % 4 WHEN 1 THEN '/in' || page_id || ' post password+HIDDEN' WHEN 2 THEN ' get text+hidden+hidden,# get text' ELSE '' END AS forms,
+array_to_string(list_transform({_LINKS}, lambda z: z[1] || '|' || trim({_PLAIN.format("z[2]")})), ',') AS anchors, regexp_extract(h, 'alt="(logo [0-9]+)"', 1) AS alts, regexp_matches(h, '<link rel="[^"]*icon') AS has_favicon, {_number("eval ?[(]")} AS n_eval, {_number("unescape[(]")} AS n_unescape FROM m""")
 def H2_markup(spark, sf_dir):
-    rows = _load(spark, sf_dir, "pages").select("page_id", F.expr(MARKUP.replace("\n", "\\n")).alias("html"))
+    """H1-H7, H10, H11 over every page's own markup, with forms, images and scripts put in, since the tables' pages have none."""
+    rows = _load(spark, sf_dir, "pages").selectExpr("page_id", f"{MARKUP} AS html")
     read = rows.select("page_id", "html", markup.page(F.col("html")).alias("p"))
     join = lambda c, f: F.array_join(F.transform(c, f), ",")
+    kinds = lambda f: F.array_join(F.transform(f["inputs"], lambda i: i["type"]), "+")
+    calls = markup.scripts(F.col("html"))
     return read.select(
-        "page_id", "p.title", F.col("p.meta_description").alias("description"), "p.visible_text", "p.n_password", "p.n_hidden", F.size(F.get("p.forms", F.lit(0))["inputs"]).cast("long").alias("n_inputs"),
-        join("p.anchors", lambda a: F.concat_ws("|", a["href"], a["text"])).alias("anchors"), F.array_join("p.image_alts", ",").alias("alts"), join("p.forms", lambda f: F.concat_ws(" ", f["action"], f["method"])).alias("form"), "p.has_favicon", *[c.alias(k) for k, c in markup.scripts(F.col("html")).items()],
+        "page_id", "p.title", F.col("p.meta_description").alias("description"), "p.visible_text", "p.n_password", "p.n_hidden", F.size("p.forms").cast("long").alias("n_forms"), join("p.forms", lambda f: F.concat_ws(" ", f["action"], f["method"], kinds(f))).alias("forms"),
+        join("p.anchors", lambda a: F.concat_ws("|", a["href"], a["text"])).alias("anchors"), F.array_join("p.image_alts", ",").alias("alts"), "p.has_favicon", calls["n_eval"].alias("n_eval"), calls["n_unescape"].alias("n_unescape"),
     )
 
 
-@query("SELECT page_id, url LIKE 'http%' AND length(url) <= 2048 AS accepted, CASE WHEN url IS NULL OR trim(url) = '' THEN 'empty' WHEN length(url) > 2048 THEN 'too_long' WHEN NOT regexp_matches(url, '^(?i)https?://') THEN 'scheme' END AS reason FROM pages")
+@query("SELECT page_id, reason IS NULL AS accepted, reason FROM (SELECT page_id, CASE WHEN u IS NULL OR trim(u) = '' THEN 'empty' WHEN length(u) > 2048 THEN 'too_long' WHEN NOT regexp_matches(u, '^(?i)https?://') THEN 'scheme' END AS reason FROM (SELECT page_id, CASE page_id % 5 WHEN 1 THEN NULL WHEN 2 THEN repeat(url, 80) WHEN 3 THEN replace(url, 'http', 'ftp') WHEN 4 THEN upper(url) ELSE url END AS u FROM pages))")
 def S1_request_checks(spark, sf_dir):
-    u = F.col("url")
-    reason = F.when(u.isNull() | (F.trim(u) == ""), "empty").when(F.length(u) > 2048, "too_long").when(~u.rlike("(?i)^https?://"), "scheme")
-    return _load(spark, sf_dir, "pages").select("page_id", reason.isNull().alias("accepted"), reason.alias("reason"))
+    rows = _load(spark, sf_dir, "pages").selectExpr("page_id", "CASE page_id % 5 WHEN 1 THEN NULL WHEN 2 THEN repeat(url, 80) WHEN 3 THEN replace(url, 'http', 'ftp') WHEN 4 THEN upper(url) ELSE url END AS u")
+    reason = cascade.request_reason(F.col("u"))
+    return rows.select("page_id", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
 @query("SELECT page_id, i AS index, CASE i WHEN 0 THEN 'jpg' ELSE 'png' END AS ext, md5('image ' || CAST(page_id AS VARCHAR)) AS digest FROM pages, (SELECT unnest([0, 1])::BIGINT AS i) WHERE i = 0 OR page_id % 2 = 0")

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom import config
-from riskloom.functions import urls
-from riskloom.operators import history, profile, scoring
+from riskloom.functions import markup, urls
+from riskloom.operators import cascade, history, profile, scoring, vectors
 
 #: Reserved names only, besides the brand tokens that the rules need.
 URL_CASES = """SELECT page_id, CASE page_id % 9
   WHEN 0 THEN url WHEN 1 THEN 'http://192.0.2.' || CAST(page_id % 250 AS VARCHAR(9)) || '/login?id=' || CAST(page_id AS VARCHAR(9)) WHEN 2 THEN 'https://paypal-secure-' || CAST(page_id AS VARCHAR(9)) || '.example.com/verify?next=http://x.test/'
   WHEN 3 THEN 'http://user@evil.example.com/a//' || CAST(page_id AS VARCHAR(9)) WHEN 4 THEN 'https://a.b.c.d.example.net/account/update' WHEN 5 THEN 'https://bit.ly/' || CAST(page_id AS VARCHAR(9))
-  WHEN 6 THEN 'https://xn--example-' || CAST(page_id AS VARCHAR(9)) || '.test/' WHEN 7 THEN 'https://login.google.example.xyz/banking' ELSE 'https://www.google.com/search?q=a%20b&x=1' END AS url FROM {pages}"""
+  WHEN 6 THEN 'https://xn--example-' || CAST(page_id AS VARCHAR(9)) || '.test/' WHEN 7 THEN 'https://login.google.' || CASE WHEN page_id % 2 = 0 THEN 'pay-example.xyz' ELSE 'my-google.co.uk' END || '/banking' ELSE 'https://www.google.com/search?q=a%20b&x=1' END AS url FROM {pages}"""
 _CASES = "cases AS (" + URL_CASES.format(pages="pages") + ")"
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
 PHRASES = ("verify your account", "account suspended", "legal action", "sign in to continue", "enter your password", "expires in 3 days", "police report", "plain words")
@@ -63,35 +63,30 @@ def A11_url_risk(spark, sf_dir):
     return rows.select("page_id", "url", "host", F.round("s", 3).alias("obfuscation_score"), F.array_join("flags", ",").alias("flags"), l2.alias("l2_score"), scoring.l2_verdict(l2).alias("verdict"))
 
 
+#: Registered domain of a host.
+_OWN = "(CASE WHEN regexp_matches(host, '^([0-9]{1,3}\\.){3}[0-9]{1,3}$') THEN host WHEN array_to_string(string_split(host, '.')[-2:], '.') IN (" + ", ".join(f"'{t}'" for t in config.TWO_LABEL_TLDS) + ") THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END)"
+
+
 @query(f"""WITH {_CASES}, h AS (SELECT *, {_HOST} AS host, length(url) AS n FROM cases), c AS (SELECT h.*, k.c, k.n AS k FROM h, LATERAL (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(h.url, '')) AS c) GROUP BY c) k),
 e AS (SELECT page_id, sum(-(k / n) * log2(k / n)) AS e FROM (SELECT page_id, k::DOUBLE AS k, n::DOUBLE AS n FROM c) GROUP BY page_id)
 SELECT page_id, n AS url_length, round(e, 4) AS entropy, round(len(regexp_extract_all(url, '[0-9]'))::DOUBLE / n, 4) AS digit_ratio, round(len(regexp_extract_all(url, '[A-Za-z]'))::DOUBLE / n, 4) AS letter_ratio,
 {", ".join(f"len(string_split(url, '{c}')) - 1 AS {k}" for k, c in (("n_dots", "."), ("n_slashes", "/"), ("n_hyphens", "-"), ("n_equals", "="), ("n_question", "?"), ("n_amp", "&"), ("n_percent", "%")))},
 greatest(0, len(regexp_extract_all(url, '//')) - 1) AS n_double_slash, {" + ".join(f"contains(lower(url), '{w}')::BIGINT" for w in config.SENSITIVE_WORDS)} AS sensitive_words, contains(url, '@') AS has_at,
-contains(host, '-') AND ({" OR ".join(f"contains(host, '{b}')" for b in config.OBFUSCATION_BRANDS)}) AS prefix_suffix_hyphen FROM h JOIN e USING (page_id)""")
+contains({_OWN}, '-') AND ({" OR ".join(f"contains({_OWN}, '{b}')" for b in config.OBFUSCATION_BRANDS)}) AS prefix_suffix_hyphen FROM h JOIN e USING (page_id)""")
 def F1_url_structure(spark, sf_dir):
     return _cases(spark, sf_dir).select("page_id", *[c.alias(k) for k, c in urls.structure(F.col("url"), F.col("host")).items()])
 
 
+_TLD = "(CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN (" + ", ".join(f"'{t}'" for t in config.TWO_LABEL_TLDS) + ") THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE string_split(host, '.')[-1] END)"
 _RISK = "CASE " + " ".join(f"WHEN tld IN ({', '.join(repr(n) for n in names)}) THEN {risk}" for risk, names in config.TLD_RISK.items()) + " ELSE 0.1 END"
 
 
-@query(f"WITH {_CASES}, h AS (SELECT *, {_HOST} AS host FROM cases), t AS (SELECT page_id, string_split(host, '.')[-1] AS tld FROM h) SELECT page_id, tld, CAST({_RISK} AS DOUBLE) AS risk, {_RISK} >= 0.3 AS suspicious FROM t")
+@query(f"WITH {_CASES}, h AS (SELECT *, {_HOST} AS host FROM cases), t AS (SELECT page_id, {_TLD} AS tld FROM h) SELECT page_id, tld, CAST({_RISK} AS DOUBLE) AS risk, {_RISK} >= 0.3 AS suspicious FROM t")
 def A10_tld_risk(spark, sf_dir):
     t = urls.tld(F.col("host"))
     return _cases(spark, sf_dir).select("page_id", t.alias("tld"), urls.tld_risk(t).alias("risk"), (urls.tld_risk(t) >= config.TLD_SUSPICIOUS_FROM).alias("suspicious"))
 
 
-@query(f"""WITH {_CASES}, h AS (SELECT page_id, {_HOST} AS host FROM cases), x AS (SELECT page_id, host, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.'))) AS suffix FROM h)
-SELECT page_id, host, max(suffix) AS brand_domain FROM x WHERE suffix IN ('google.com', 'example.com', 'example.net') GROUP BY page_id, host""")
-def J5_host_suffix_match(spark, sf_dir):
-    """Host suffixes are listed and joined by equality with the domains (three of them), not compared with each."""
-    domains = spark.range(1).select(F.explode(F.array(*map(F.lit, ("google.com", "example.com", "example.net")))).alias("suffix"))
-    labels = F.split("host", r"\.")
-    rows = _cases(spark, sf_dir).select("page_id", "host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("suffix"))
-    return rows.join(F.broadcast(domains), "suffix").groupBy("page_id", "host").agg(F.max("suffix").alias("brand_domain"))
-
-
 def _hits_sql(patterns) -> str:
     return " + ".join("regexp_matches(t, '(?i)" + p + "')::BIGINT" for p in patterns)
 
@@ -161,7 +156,7 @@ def W4_history_cap(spark, sf_dir):
 
 @query("SELECT event_id, sha256('scan:' || CAST(user_id AS VARCHAR) || ':' || event_type) AS cache_key FROM events")
 def C1_cache_key(spark, sf_dir):
-    return _load(spark, sf_dir, "events").select("event_id", F.sha2(F.concat(F.lit("scan:"), F.col("user_id").cast("string"), F.lit(":"), F.col("event_type")), 256).alias("cache_key"))
+    return _load(spark, sf_dir, "events").select("event_id", history.cache_key(F.concat_ws(":", F.col("user_id").cast("string"), "event_type")).alias("cache_key"))
 
 
 @query(f"WITH {_HISTORY} SELECT count(*) AS total, count(*) FILTER (verdict <> 'SAFE') AS threats, count(*) FILTER (verdict = 'SAFE') AS safe, CAST(floor(avg(coalesce(value, 0)) + 0.5) AS BIGINT) AS mean_ms FROM h")
@@ -188,14 +183,13 @@ def A23_null_profile(spark, sf_dir):
 @query("SELECT quality, count(*) AS n, round(avg(n_chars), 3) AS mean, min(n_chars) AS least, max(n_chars) AS most, quantile_cont(n_chars, 0.25)::DOUBLE AS q1, quantile_cont(n_chars, 0.5)::DOUBLE AS median, quantile_cont(n_chars, 0.75)::DOUBLE AS q3 FROM documents JOIN labels USING (doc_id) GROUP BY quality")
 def A24_class_distribution(spark, sf_dir):
     rows = _load(spark, sf_dir, "documents").select("doc_id", "n_chars").join(_load(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    return rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 3).alias("mean"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), *[F.percentile("n_chars", q).alias(k) for q, k in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    return profile.class_distribution(rows, "quality", "n_chars")
 
 
-@query("SELECT event_id, coalesce(CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END, (SELECT quantile_cont(value, 0.5) FROM events WHERE event_id % 5 <> 0)) AS value FROM events")
+@query("SELECT event_id, coalesce(CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END, (SELECT quantile_cont(value, 0.5) FROM events WHERE event_id % 5 <> 0)) AS value, CASE WHEN event_id % 4 = 0 THEN 'unknown' ELSE event_type END AS event_type FROM events")
 def A25_median_imputation(spark, sf_dir):
-    rows = _load(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"))
-    median = rows.agg(F.percentile("value", 0.5).alias("m"))
-    return rows.join(F.broadcast(median)).select("event_id", F.coalesce("value", "m").alias("value"))
+    rows = _load(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("event_type"))
+    return profile.imputed(rows, ["value"], ["event_type"])
 
 
 @query("""WITH s AS (SELECT quality AS y, (doc_id % 100) / 100.0::DOUBLE AS s FROM labels), c AS (SELECT count(*) FILTER (y = 1 AND s >= 0.5) AS tp, count(*) FILTER (y = 0 AND s >= 0.5) AS fp, count(*) FILTER (y = 1 AND s < 0.5) AS fn, count(*) FILTER (y = 0 AND s < 0.5) AS tn FROM s),
@@ -212,23 +206,25 @@ def K2_stratified_split(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT label, list(s ORDER BY i) AS c FROM (SELECT label, i, sum(x) AS s FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY label, i) GROUP BY label),
-s AS (SELECT e.vec_id, c.label, list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), c.c) AS sim FROM embeddings e, c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) AS k FROM s) SELECT vec_id, label AS brand, round(sim, 4) AS similarity FROM r WHERE k = 1""")
+s AS (SELECT e.vec_id, c.label, list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), c.c) AS sim FROM embeddings e, c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) AS k FROM s) SELECT vec_id, label AS brand, round(sim, 4) AS similarity, k AS place FROM r WHERE k <= 3""")
 def J9_nearest_brand(spark, sf_dir):
-    """Each vector's nearest centroid; the centroids, one for each label of the catalogue, are an array in one broadcast row."""
-    rows = _load(spark, sf_dir, "embeddings")
-    sums = rows.select("label", F.posexplode("embedding")).groupBy("label", "pos").agg(F.sum(F.col("col").cast("double")).alias("x"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    centroid = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("c"))
-    catalogue = centroid.agg(F.array_sort(F.collect_list(F.struct("label", "c", F.sqrt(dot(F.col("c"), F.col("c"))).alias("norm")))).alias("brands"))
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    best = F.array_max(F.transform("brands", lambda b: F.struct((dot(v, b["c"]) / b["norm"] / F.sqrt(dot(v, v))).alias("s"), (-b["label"]).alias("l"))))
-    return rows.join(F.broadcast(catalogue)).select("vec_id", best.alias("b")).select("vec_id", (-F.col("b.l")).alias("brand"), F.round("b.s", 4).alias("similarity"))
-
-
-@query("SELECT page_id, sha256(trim(regexp_replace(regexp_replace(html, '<script[^>]*>[\\s\\S]*?</script>', '', 'gi'), '\\s+', ' ', 'g'))) AS content_hash, len(regexp_extract_all(html, '(?i)<a\\s')) AS n_anchors, len(regexp_extract_all(html, '(?i)<script')) AS n_scripts, contains(lower(html), 'about:blank') AS about_blank FROM pages")
+    """Each vector's three nearest centroids."""
+    rows = _load(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    known = vectors.centroids(rows, "label", "embedding").select(F.col("label").alias("brand"), F.col("embedding").alias("centre"))
+    near = vectors.nearest(rows, "vec_id", "embedding", known, "brand", "centre", 3)
+    return near.select("vec_id", "brand", F.round("similarity", 4).alias("similarity"), "place")
+
+
+_EVEN = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_BARE = "regexp_replace(html, '(?i)<script[\\s\\S]*?</script>', '', 'g')"
+_BODY = "'(?i)<body[\\s\\S]*?>([\\s\\S]*)</body>'"
+
+
+@query(f"""SELECT page_id, sha256(html) AS raw_hash, sha256({_EVEN.format("regexp_replace(html, '(?i)<script[^>]*>[" + chr(92) + "s" + chr(92) + "S]*?</script>', '', 'g')")}) AS content_hash, sha256({_EVEN.format(f"CASE WHEN regexp_matches({_BARE}, {_BODY}) THEN regexp_extract({_BARE}, {_BODY}, 1) ELSE {_BARE} END")}) AS body_hash,
+len(regexp_extract_all(html, '(?i)<a\\s')) AS n_anchors, len(regexp_extract_all(html, '(?i)<script')) AS n_scripts, contains(lower(html), 'about:blank') AS about_blank FROM pages""")
 def H16_page_fingerprint(spark, sf_dir):
-    clean = F.trim(F.regexp_replace(F.regexp_replace("html", r"(?i)<script[^>]*>[\s\S]*?</script>", ""), r"\s+", " "))
-    return _load(spark, sf_dir, "pages").select("page_id", F.sha2(clean, 256).alias("content_hash"), F.regexp_count("html", F.lit(r"(?i)<a\s")).cast("long").alias("n_anchors"), F.regexp_count("html", F.lit("(?i)<script")).cast("long").alias("n_scripts"), F.lower("html").contains("about:blank").alias("about_blank"))
+    rows = _load(spark, sf_dir, "pages")
+    return rows.select("page_id", *[c.alias(k) for k, c in markup.content_hashes(F.col("html")).items()], F.regexp_count("html", F.lit(r"(?i)<a\s")).cast("long").alias("n_anchors"), F.regexp_count("html", F.lit("(?i)<script")).cast("long").alias("n_scripts"), F.lower("html").contains("about:blank").alias("about_blank"))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'signup' AND coalesce(value, 0) = 0 THEN 100 ELSE greatest(0, least(100, floor((1 - s) * 100 + 0.5))) END::BIGINT AS safety FROM (SELECT *, (event_id % 101) / 100.0::DOUBLE AS s FROM events)")
@@ -244,15 +240,12 @@ def E2_age_days(spark, sf_dir):
 
 @query("WITH c AS (SELECT event_type AS model, round(avg(value), 6) AS combined FROM events GROUP BY 1) SELECT model, combined, rank() OVER (ORDER BY combined DESC) AS \"rank\" FROM c")
 def A27_model_rank(spark, sf_dir):
-    c = _load(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model")).agg(F.round(F.avg("value"), 6).alias("combined"))
-    return c.withColumn("rank", F.rank().over(Window.orderBy(F.desc("combined"))).cast("long"))
+    return profile.model_ranks(_load(spark, sf_dir, "events"), "event_type", "value")
 
 
 @query("SELECT p_partkey, round(p_retailprice / max(p_retailprice) OVER (), 3) AS scaled FROM part")
 def A28_max_scaling(spark, sf_dir):
-    """The greatest value is an aggregate of its own, one row, so no window gathers the table."""
-    part = _load(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    return part.join(F.broadcast(part.agg(F.max("p_retailprice").alias("m")))).select("p_partkey", F.round(F.col("p_retailprice") / F.col("m"), 3).alias("scaled"))
+    return profile.scaled_to_max(_load(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice", "scaled").drop("p_retailprice")
 
 
 @query("SELECT c_custkey, CASE WHEN r <= 10 THEN 'top1k' WHEN r <= 100 THEN 'top10k' ELSE 'none' END AS bucket FROM (SELECT c.c_custkey, coalesce(k.r, 1000000) AS r FROM customer c LEFT JOIN (SELECT o_custkey, rank() OVER (ORDER BY n DESC, o_custkey) AS r FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)) k ON c.c_custkey = k.o_custkey)")
@@ -260,5 +253,4 @@ def J2_rank_bucket(spark, sf_dir):
     """Only the first 100 of the ranking matter, so it is a top-k, and its 100 rows are broadcast."""
     top = _load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "o_custkey").limit(100)
     ranked = top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "o_custkey"))).select(F.col("o_custkey").alias("c_custkey"), "r")
-    rows = _load(spark, sf_dir, "customer").select("c_custkey").join(F.broadcast(ranked), "c_custkey", "left")
-    return rows.select("c_custkey", F.when(F.col("r") <= 10, "top1k").when(F.col("r") <= 100, "top10k").otherwise("none").alias("bucket"))
+    return cascade.rank_bucket(_load(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", ranked, "r", ((10, "top1k"), (100, "top10k")))

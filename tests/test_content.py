@@ -1,13 +1,8 @@
 """The content queries read every row's own text, address and markup."""
 
-import re
-
 from riskloom import config
 from riskloom.plans import content
 
-SF = "/root/testdata/sf0.001"
-
-
 def test_texts_are_read(spark, tmp_path):
     texts = {1: "plain", 2: "x" * 5000 + " your password was compromised, verify your account", 3: None, 9: "plain words of paypal here"}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
@@ -26,11 +21,6 @@ def test_pages_are_read(spark, tmp_path):
     rows = [(9, "https://a.test/x", "<title>One</title><p>hello"), (10, "http://192.0.2.7/login", "<title>Two</title><form action='http://other.test/'><input type=password></form>verify your account now")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     sf = str(tmp_path)
-    assert {r.page_id: (r.title, r.n_password, r.n_forms) for r in content.H2_pages(spark, sf).collect()} == {9: ("One", 0, 0), 10: ("Two", 1, 1)}
-    scores = {r.page_id: (r.url, r.score) for r in content.Y1_pages(spark, sf).collect()}
+    scores = {r.page_id: (r.url, r.score) for r in content.Y1_scan(spark, sf).collect()}
     assert scores[9][0] == rows[0][1] and scores[10][1] > scores[9][1]
     assert {r.page_id: r.flags for r in content.A11_pages(spark, sf).collect()} == {9: "", 10: "ip_based_url"}
-    html = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
-    got = {r.page_id: r.title for r in content.H2_pages(spark, SF).collect()}
-    titles = {k: re.search("<title>(.*?)</title>", h or "", re.S) for k, h in html.items()}
-    assert set(got) == set(html) and all(got[k] == m[1] for k, m in titles.items() if m and "&" not in m[1] and m[1] == m[1].strip())

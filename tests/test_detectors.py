@@ -26,7 +26,7 @@ def test_nulls_and_empty(spark):
     rows = spark.createDataFrame([(1, None), (2, "")], "i int, t string")
     none = F.lit(None).cast("double")
     got = rows.orderBy("i").select(
-        lexicon.fear(F.col("t"), none, none, none)["fear_score"].alias("fear"), lexicon.image_text(F.col("t"))["ocr_score"].alias("ocr"), brands.page_mismatch(F.lit("a.test"), F.col("t")).alias("page"), brands.nearest(F.col("t")).alias("near"),
+        lexicon.fear(F.col("t"), none, none, none)["fear_score"].alias("fear"), lexicon.image_text(F.col("t"))["ocr_score"].alias("ocr"), brands.page_mismatch(F.lit("a.test"), brands.mentions(F.col("t"))).alias("page"), brands.nearest(F.col("t")).alias("near"),
         actions.action_kind(F.lit("https://a.test/"), F.col("t"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("kind"), actions.resolved_action(F.lit("https://a.test/"), F.col("t")).alias("to"),
         registration.features(F.col("t"), F.current_timestamp(), F.lit("x"))["registrar_category"].alias("registrar"), markup.page(F.col("t")).alias("p"),
     ).collect()
