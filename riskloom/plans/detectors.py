@@ -44,34 +44,34 @@ def F21_lexicon_share(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", lexicon.share_of_lexicon(F.col("t"), config.FEAR_WORDS).alias("fear_share"), lexicon.share_of_lexicon(F.col("t"), PHRASES).alias("phrase_share"))
 
 
-#: (action, kind, resolved) against https://shop.pages.example/a/b; official domain bank.example.
-ACTIONS = (
-    ("", "empty", ""), ("about:blank", "about_blank", "about:blank"), ("JavaScript:go()", "javascript", "JavaScript:go()"), ("mailto:a@example.com", "mailto", "mailto:a@example.com"), ("../login", "relative", "https://shop.pages.example/login"),
-    ("https://shop.pages.example/post", "same_origin", "https://shop.pages.example/post"), ("//other.pages.example/p", "same_platform_cross_origin", "https://other.pages.example/p"), ("https://login.bank.example/p", "official_brand_cross_origin", "https://login.bank.example/p"),
-    ("http://collector.test/x", "external_cross_origin", "http://collector.test/x"), ("https://shop.pages.example:8443/p", "same_platform_cross_origin", "https://shop.pages.example:8443/p"), ("?q=1", "relative", "https://shop.pages.example/a/b?q=1"),
-)
+#: A form's target by the page's id and address; both engines read the same rule.
+_HOST_OF = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1))"
+_ACTION = f"""CASE page_id % 10 WHEN 0 THEN '' WHEN 1 THEN 'about:blank' WHEN 2 THEN 'JavaScript:go(' || CAST(page_id AS VARCHAR(20)) || ')' WHEN 3 THEN 'mailto:a' || CAST(page_id AS VARCHAR(20)) || '@example.com' WHEN 4 THEN '/login/' || CAST(page_id AS VARCHAR(20)) WHEN 5 THEN 'https://' || {_HOST_OF} || '/post'
+WHEN 6 THEN '//shop.' || {_HOST_OF} || '/p' WHEN 7 THEN 'https://login.bank.example/p' WHEN 8 THEN 'http://collector.test/' || CAST(page_id AS VARCHAR(20)) ELSE 'http://' || {_HOST_OF} || ':8080/q' END"""
 
 
-def _case(k: int) -> str:
-    return f"CASE page_id % {len(ACTIONS)} " + " ".join(f"WHEN {i} THEN '{a[k]}'" for i, a in enumerate(ACTIONS)) + " END"
+@query(f"""WITH f AS (SELECT page_id, url, {_ACTION} AS action, {_HOST_OF} AS page, regexp_extract(url, '^([a-z]+):', 1) AS scheme, CASE WHEN page_id % 3 <> 0 THEN 'bank.example' END AS official FROM pages),
+t AS (SELECT *, lower(trim(action)) AS v, regexp_extract(action, '^(?:[a-z]+:)?//([^/?#:]*)', 1) AS target, regexp_extract(action, '^([a-z]+)://', 1) AS to_scheme, contains(action, ':8080') AS ported FROM f)
+SELECT page_id, CASE WHEN v = '' THEN 'empty' WHEN v = 'about:blank' THEN 'about_blank' WHEN starts_with(v, 'javascript:') THEN 'javascript' WHEN starts_with(v, 'mailto:') THEN 'mailto' WHEN target = '' THEN 'relative' WHEN to_scheme = scheme AND target = page AND NOT ported THEN 'same_origin'
+WHEN regexp_matches(page, '(^|[.])example[.]com$') AND regexp_matches(target, '(^|[.])example[.]com$') THEN 'same_platform_cross_origin' WHEN official IS NULL THEN 'unknown_brand_cross_origin' WHEN target = official OR ends_with(target, '.' || official) THEN 'official_brand_cross_origin' ELSE 'external_cross_origin' END AS kind,
+CASE WHEN starts_with(action, '//') THEN scheme || ':' || action WHEN starts_with(action, '/') THEN scheme || '://' || page || action ELSE action END AS resolved, '/' || trim(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '/') AS path FROM t""")
+def F26_form_action(spark, sf_dir):
+    rows = _load(spark, sf_dir, "pages").selectExpr("page_id", "url", f"{_ACTION} AS action")
+    official = F.when(F.col("page_id") % 3 != 0, "bank.example")
+    kind = actions.action_kind(F.col("url"), F.col("action"), F.lit("example.com"), official)
+    return rows.select("page_id", kind.alias("kind"), actions.resolved_action(F.col("url"), F.col("action")).alias("resolved"), actions.normalised_path(F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)).alias("path"))
 
 
-@query(f"""SELECT page_id, CASE WHEN page_id % 3 = 0 AND {_case(1)} IN ('official_brand_cross_origin', 'external_cross_origin') THEN 'unknown_brand_cross_origin' ELSE {_case(1)} END AS kind, {_case(2)} AS resolved,
-'/' || trim(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '/') AS path FROM pages""")
-def F26_form_action(spark, sf_dir):
-    rows = _load(spark, sf_dir, "pages").select("page_id", "url", F.expr(_case(0)).alias("action"))
-    page, official = F.lit("https://shop.pages.example/a/b"), F.when(F.col("page_id") % 3 != 0, "bank.example")
-    kind = actions.action_kind(page, F.col("action"), F.lit("pages.example"), official)
-    return rows.select("page_id", kind.alias("kind"), actions.resolved_action(page, F.col("action")).alias("resolved"), actions.normalised_path(F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)).alias("path"))
+#: What a parameter hides, by the page's id and address.
+_HIDDEN = "CASE page_id % 5 WHEN 0 THEN 'http://t.test/login?' || url WHEN 1 THEN 'plain words about nothing ' || CAST(page_id AS VARCHAR(20)) WHEN 2 THEN 'x' WHEN 3 THEN 'a password of ' || url ELSE 'password' || chr(7) || url END"
 
 
-@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'next' END AS name, CASE page_id % 3 WHEN 0 THEN 'http://example.test/login?id=' || CAST(page_id AS VARCHAR) END AS text FROM pages""")
+@query(f"""WITH v AS (SELECT page_id, rtrim(translate(to_base64(encode({_HIDDEN})), '+/', '-_'), '=') AS v FROM pages), d AS (SELECT page_id, decode(from_base64(translate(v, '-_', '+/') || repeat('=', (4 - length(v) % 4) % 4))) AS t, regexp_matches(v, '^[A-Za-z0-9_-]{{21,}}$') AS long FROM v),
+h AS (SELECT page_id, t, long AND regexp_matches(t, '^[ -~]+$') AND regexp_matches(lower(t), 'http|password|login') AS hit FROM d) SELECT page_id, CASE WHEN hit THEN 'next' END AS name, CASE WHEN hit THEN t[:200] END AS text FROM h""")
 def F8_hidden_parameters(spark, sf_dir):
-    i = F.col("page_id")
-    coded = lambda t: F.translate(F.base64(F.encode(t, "UTF-8")), "+/", "-_")
-    value = F.when(i % 3 == 0, coded(F.concat(F.lit("http://example.test/login?id="), i.cast("string")))).when(i % 3 == 1, coded(F.lit("a plain sentence without meaning"))).otherwise("short")
-    found = actions.hidden_parameters(F.concat(F.lit("a=1&next="), F.regexp_replace(value, "=", "%3D")))
-    return _load(spark, sf_dir, "pages").select("page_id", F.get(found, F.lit(0)).alias("p")).select("page_id", "p.name", "p.text")
+    rows = _load(spark, sf_dir, "pages").selectExpr("page_id", f"{_HIDDEN} AS t")
+    value = F.translate(F.base64(F.encode("t", "UTF-8")), "+/=\r\n", "-_")
+    return rows.select("page_id", F.get(actions.hidden_parameters(F.concat(F.lit("a=1&next="), value)), F.lit(0)).alias("p")).select("page_id", "p.name", "p.text")
 
 
 RECORD = """CASE WHEN page_id % 5 = 4 THEN NULL ELSE 'Domain Name: EXAMPLE.TEST\nCreation Date: ' || CASE page_id % 3 WHEN 0 THEN '2024-01-05T06:00:00Z' WHEN 1 THEN '2023-12-25' ELSE '12-Apr-2023' END || '\n  Registrar: ' || CASE page_id % 4 WHEN 0 THEN 'GoDaddy.com, LLC' WHEN 1 THEN 'NameCheap, Inc.' WHEN 2 THEN 'Other' ELSE '' END
@@ -135,11 +135,15 @@ def S1_request_checks(spark, sf_dir):
     return rows.select("page_id", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
-@query("SELECT page_id, i AS index, CASE i WHEN 0 THEN 'jpg' ELSE 'png' END AS ext, md5('image ' || CAST(page_id AS VARCHAR)) AS digest FROM pages, (SELECT unnest([0, 1])::BIGINT AS i) WHERE i = 0 OR page_id % 2 = 0")
+_IMAGES = "'<img src=\"data:image/jpeg;base64,' || {coded} || '\">' || CASE WHEN page_id % 2 = 0 THEN '<img src=\"data:image/png;base64,' || {coded} || '\">' ELSE '' END"
+
+
+@query(f"""WITH h AS (SELECT page_id, replace(html, '</article>', {_IMAGES.format(coded="to_base64(encode('image ' || url))")} || '</article>') AS h FROM pages), i AS (SELECT page_id, unnest(list_zip(range(10), regexp_extract_all(h, 'data:image/([a-z]+);base64,([A-Za-z0-9+/=]+)', 1), regexp_extract_all(h, 'data:image/([a-z]+);base64,([A-Za-z0-9+/=]+)', 2))) AS z FROM h)
+SELECT page_id, z[1]::BIGINT AS index, CASE z[2] WHEN 'jpeg' THEN 'jpg' ELSE z[2] END AS ext, md5(from_base64(z[3])) AS digest FROM i WHERE z[3] IS NOT NULL""")
 def S11_embedded_images(spark, sf_dir):
-    data = F.base64(F.encode(F.concat(F.lit("image "), F.col("page_id").cast("string")), "UTF-8"))
-    html = F.concat(F.lit("<img src='data:image/jpeg;base64,"), data, F.lit("'>"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<img src='data:image/png;base64,"), data, F.lit("'>"))).otherwise(""))
-    return tables.embedded_images(_load(spark, sf_dir, "pages").select("page_id", html.alias("html")), "page_id").select("page_id", "index", "ext", F.md5("bytes").alias("digest"))
+    coded = "base64(encode('image ' || url, 'UTF-8'))"
+    rows = _load(spark, sf_dir, "pages").selectExpr("page_id", f"replace(html, '</article>', {_IMAGES.format(coded=coded)} || '</article>') AS html")
+    return tables.embedded_images(rows, "page_id").select("page_id", "index", "ext", F.md5("bytes").alias("digest"))
 
 
 @query("SELECT lower(p_type) AS tld, round(v / max(v) OVER (), 3) AS risk FROM (SELECT p_type, max(p_size)::DOUBLE AS v FROM part GROUP BY 1)")

@@ -91,8 +91,8 @@ def _hits_sql(patterns) -> str:
     return " + ".join("regexp_matches(t, '(?i)" + p + "')::BIGINT" for p in patterns)
 
 
-@query(f"""WITH c AS ({TEXT_CASES.format(documents="documents")}), h AS (SELECT doc_id, {_hits_sql(config.URGENCY_PATTERNS)} AS u, {_hits_sql(config.FEAR_PATTERNS)} AS f, {_hits_sql(config.CREDENTIAL_PATTERNS)} AS k FROM c)
-SELECT doc_id, u AS urgency_hits, f AS fear_hits, k AS credential_hits, round(least(1.0, 0.15 * u + 0.2 * f + 0.15 * k), 3)::DOUBLE AS pattern_score FROM h""")
+@query(f"""WITH c AS ({TEXT_CASES.format(documents="documents")}), h AS (SELECT doc_id, CASE WHEN length(t) >= 10 THEN {_hits_sql(config.URGENCY_PATTERNS)} END AS u, CASE WHEN length(t) >= 10 THEN {_hits_sql(config.FEAR_PATTERNS)} END AS f, CASE WHEN length(t) >= 10 THEN {_hits_sql(config.CREDENTIAL_PATTERNS)} END AS k FROM c)
+SELECT doc_id, u AS urgency_hits, f AS fear_hits, k AS credential_hits, round(least(1.0, coalesce(0.15 * u + 0.2 * f + 0.15 * k, 0)), 3)::DOUBLE AS pattern_score FROM h""")
 def A3_text_patterns(spark, sf_dir):
     rows = spark.sql(TEXT_CASES, documents=_load(spark, sf_dir, "documents").select("doc_id", "lang"))
     return rows.select("doc_id", *[(c.cast("long") if k.endswith("hits") else c).alias(k) for k, c in scoring.patterns(F.col("t")).items()])

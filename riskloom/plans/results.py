@@ -132,13 +132,16 @@ def H12_layout(spark, sf_dir):
     return rows.select("page_id", *[c.alias(k) for k, c in layout.structure(F.col("html"), F.col("t")).items()])
 
 
-#: (stored list of forms, forms, inputs, hidden ones, first target, first leads nowhere, first is blank, anything listed)
-STORED = (('[{"action":"#","method":"post","inputs":[{"type":"hidden","name":"a"},{"type":"text"}]},{"action":"/x"}]', 2, 2, 1, "#", True, False, 1), ("[]", 0, 0, 0, None, False, False, 0), ("broken", 0, 0, 0, None, False, False, 1), (None, 0, 0, 0, None, False, False, 0), ('[{"action":" About:Blank "}]', 1, 0, 0, " About:Blank ", False, True, 1))
+#: A stored list of forms by the page's id and address; both engines read the same rule.
+_FORM = """'{"action":"' || CASE page_id % 4 WHEN 0 THEN '#' WHEN 1 THEN ' About:Blank ' WHEN 2 THEN url ELSE '' END || '","method":"' || CASE WHEN page_id % 2 = 0 THEN 'post' ELSE 'get' END || '","inputs":[{"type":"hidden","name":"a"}' || CASE WHEN page_id % 3 = 0 THEN ',{"type":"text"},{"type":"hidden"}' ELSE '' END || ']}'"""
+_STORED = f"""CASE page_id % 6 WHEN 0 THEN '[]' WHEN 1 THEN NULL WHEN 2 THEN 'broken' WHEN 3 THEN '[' || {_FORM} || ']' ELSE '[' || {_FORM} || ',{{"action":"/second","inputs":[{{"type":"hidden"}}]}}]' END"""
 
 
-@query(f"SELECT page_id, {', '.join(_pick('page_id', STORED, k) + t for k, t in ((1, '::BIGINT AS n_forms'), (2, '::BIGINT AS n_inputs'), (3, '::BIGINT AS n_hidden'), (4, ' AS first_action'), (5, ' AS handler_empty'), (6, ' AS handler_blank'), (7, '::BIGINT AS listed')))}, CASE page_id % 5 WHEN 0 THEN 'post' END AS first_method FROM pages")
+@query(f"""WITH t AS (SELECT page_id, {_STORED} AS t FROM pages), j AS (SELECT page_id, t, CASE WHEN json_valid(t) THEN t::JSON ELSE '[]'::JSON END AS j FROM t), a AS (SELECT *, json_extract_string(j, '$[*].action') AS acts FROM j)
+SELECT page_id, json_array_length(j)::BIGINT AS n_forms, len(json_extract(j, '$[*].inputs[*]'))::BIGINT AS n_inputs, len(list_filter(json_extract_string(j, '$[*].inputs[*].type'), lambda k: k = 'hidden'))::BIGINT AS n_hidden, json_extract_string(j, '$[0].action') AS first_action, json_extract_string(j, '$[0].method') AS first_method,
+len(list_filter(acts, lambda x: trim(x) IN ('', '#'))) > 0 AS handler_empty, len(list_filter(acts, lambda x: lower(trim(x)) = 'about:blank')) > 0 AS handler_blank, CASE WHEN t IS NULL OR trim(t) IN ('', '[]') THEN 0 ELSE 1 END::BIGINT AS listed FROM a""")
 def H13_stored_forms(spark, sf_dir):
-    rows = _load(spark, sf_dir, "pages").select("page_id", F.expr(_pick("page_id", STORED, 0)).alias("t"))
+    rows = _load(spark, sf_dir, "pages").selectExpr("page_id", f"{_STORED} AS t")
     forms = F.coalesce(F.from_json("t", layout.FORMS), F.array().cast(layout.FORMS))
     return rows.select("page_id", *[c.alias(k) for k, c in (layout.stored_forms(F.col("t")) | layout.handlers(forms)).items()], layout.listed(F.col("t")).cast("long").alias("listed"))
 
