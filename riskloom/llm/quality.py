@@ -116,6 +116,37 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _through(theta: list[np.ndarray], z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a = np.tanh(z @ theta[0] + theta[1])
+    return a, a @ theta[2] + theta[3]
+
+
+def risk(theta: list[np.ndarray], zp: np.ndarray, zu: np.ndarray, prior: float | None) -> tuple[float, float]:
+    """The positive part of the risk, and the negative one before it is stopped at 0 (prior None: of the plain separation)."""
+    fp, fu = _through(theta, zp)[1], _through(theta, zu)[1]
+    if prior is None:
+        return np.logaddexp(0, -fp).mean() / 2, np.logaddexp(0, fu).mean()
+    return prior * np.logaddexp(0, -fp).mean(), np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+
+
+def gradient(theta: list[np.ndarray], zp: np.ndarray, zu: np.ndarray, prior: float | None) -> list[np.ndarray]:
+    """Of both parts' sum; where the negative part is below 0, which no distribution can give, of minus that part, to undo some of it."""
+    (ap, fp), (au, fu) = _through(theta, zp), _through(theta, zu)
+    sp, su = _sigmoid(fp), _sigmoid(fu)
+    if prior is None:
+        gp, gu = (sp - 1) / len(sp) / 2, su / len(su)
+    elif risk(theta, zp, zu, prior)[1] >= 0:
+        gp, gu = (prior * (sp - 1) - prior * sp) / len(sp), su / len(su)
+    else:
+        gp, gu = prior * sp / len(sp), -su / len(su)
+
+    def back(z, a, g):
+        ga = np.outer(g, theta[2]) * (1 - a * a)
+        return [z.T @ ga, ga.sum(0), a.T @ g, np.array([g.sum()])]
+
+    return [x + y for x, y in zip(back(zp, ap, gp), back(zu, au, gu))]
+
+
 def fit(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int = STEPS) -> Net:
     """Adam on the non-negative risk; prior None: plain logistic separation of p from u."""
     r = np.random.Generator(np.random.PCG64(SEED))
@@ -126,25 +157,9 @@ def fit(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int = STEPS) -
     theta = [r.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), r.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
     m, v = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
 
-    def back(z, a, g):
-        ga = np.outer(g, theta[2]) * (1 - a * a)
-        return [z.T @ ga, ga.sum(0), a.T @ g, np.array([g.sum()])]
-
     for step in range(1, steps + 1):
         ip, iu = r.integers(0, len(zp), min(len(zp), 1024)), r.integers(0, len(zu), min(len(zu), 2048))
-        xp, xu = zp[ip], zu[iu]
-        ap, au = np.tanh(xp @ theta[0] + theta[1]), np.tanh(xu @ theta[0] + theta[1])
-        fp, fu = ap @ theta[2] + theta[3], au @ theta[2] + theta[3]
-        sp, su = _sigmoid(fp), _sigmoid(fu)
-        if prior is None:
-            gp, gu = (sp - 1) / len(sp) / 2, su / len(su) / 2
-        else:
-            negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-            if negative >= 0:
-                gp, gu = (prior * (sp - 1) - prior * sp) / len(sp), su / len(su)
-            else:  # undo part of the negative risk, which is below what any distribution can give
-                gp, gu = prior * sp / len(sp), -su / len(su)
-        grads = [x + y + 1e-4 * t for x, y, t in zip(back(xp, ap, gp), back(xu, au, gu), theta)]
+        grads = [g + 1e-4 * t for g, t in zip(gradient(theta, zp[ip], zu[iu], prior), theta)]
         for t, g, mm, vv in zip(theta, grads, m, v):
             mm += 0.1 * (g - mm)
             vv += 0.001 * (g * g - vv)
@@ -152,16 +167,27 @@ def fit(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int = STEPS) -
     return Net(mean, scale, *theta[:3], float(theta[3][0]))
 
 
-def class_prior(p: np.ndarray, u: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
-    """Share of positives in u: the least upper bound of U's over P's mass above a score, on rows held out of the separation."""
-    a = fit(p[::2], u[::2], None, STEPS // 2)
-    sp, su = np.sort(a.margin(p[1::2])), np.sort(a.margin(u[1::2]))
-    if not len(sp) or not len(su):
+def class_prior(p: np.ndarray, u: np.ndarray, delta: float = 0.1, gamma: float = 0.01, parts: int = 3, slack: float = 0.5) -> float:
+    """Share of positives in u: the least upper bound of U's over P's mass above a score.
+
+    Every row is scored by a network that has not seen it (one a part), as its rank among that network's positives, so all rows count in
+    the bound, whose width shrinks with their number; of that width, ``slack`` is taken, since the whole of it draws small samples towards 1.
+    """
+    if len(p) < parts or len(u) < parts:
         return 0.5
-    cut = sp[: max(1, int(0.99 * len(sp)))]
-    qp, qu = 1 - np.arange(len(cut)) / len(sp), 1 - np.searchsorted(su, cut, "left") / len(su)
-    slack = (np.sqrt(np.log(4 / delta) / 2 / len(sp)) + np.sqrt(np.log(4 / delta) / 2 / len(su))) * (1 + gamma) / qp
-    k = int(np.argmin(qu / qp + slack))
+    r = np.random.Generator(np.random.PCG64(SEED))
+    fp, fu = r.permutation(len(p)) % parts, r.permutation(len(u)) % parts
+    sp, su = np.zeros(len(p)), np.zeros(len(u))
+    for k in range(parts):
+        net = fit(p[fp != k], u[fu != k], None, STEPS // 2)
+        seen = np.sort(net.margin(p[fp != k]))
+        for scores, rows, own in ((sp, p, fp), (su, u, fu)):
+            scores[own == k] = np.searchsorted(seen, net.margin(rows[own == k])) / len(seen)
+    sp, su = np.sort(sp), np.sort(su)
+    cut = np.unique(sp)
+    qp, qu = 1 - np.searchsorted(sp, cut, "left") / len(sp), 1 - np.searchsorted(su, cut, "left") / len(su)
+    width = (np.sqrt(np.log(4 / delta) / 2 / len(sp)) + np.sqrt(np.log(4 / delta) / 2 / len(su))) * (1 + gamma) / qp
+    k = int(np.argmin(qu / qp + slack * width))
     return float(np.clip(qu[k] / qp[k], 0.02, 0.98))
 
 
