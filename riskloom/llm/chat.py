@@ -5,15 +5,15 @@ automaton of four states.  For each turn as found, a table gives the cheapest wa
 relabel, merge into the turn before, each perhaps after an inserted empty turn), and repair is a shortest path, by dynamic
 programming.  The tables multiply as min-plus matrices, so a conversation is handled in chunks of CHUNK turn numbers: each
 chunk's product is worked out where its turns are, the chunks' entry and exit states follow from the products alone, and the
-path within each chunk is then found with its turns.  A conversation of any length is never in one task; only its chunks'
-4 x 4 tables are.
+path within each chunk is then found with its turns.  A conversation of any length is never in one task, also if its turn numbers are null
+or equal; only its chunks' 4 x 4 tables are.
 
 Each turn is rendered as a fragment; the fragments of a conversation in order of turn (turn, role, text) are the repaired
 conversation.  Markers that occur in a text are broken by a zero-width space.
 
 Defined results: an unknown or null role costs least to relabel; a null turn number comes first; turns of equal number follow
-by role and text, repeated ones all count; null text renders as empty; rows with a null conversation id are one conversation;
-other columns are ignored.
+by role and text (where more than 4 * CHUNK turns share CHUNK numbers: by role, hash of the text and number among equal ones), repeated
+ones all count; null text renders as empty; a row with a null conversation id is a conversation of its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -170,47 +170,89 @@ def _batched(rows: Iterator[tuple], kinds: list[tuple[str, pa.DataType]], size:
         yield out()
 
 
+OUT = [("conv", pa.int64()), ("turn", pa.int64()), *((x, pa.string()) for x in ("role", "repaired_role", "action", "inserted_before", "inserted_after", "fragment"))]
+SCHEMA = "conv long, turn long, role string, repaired_role string, action string, inserted_before string, inserted_after string, fragment string"
+KEYS = ["conv", "chunk", "sub", "part_of"]
+
+
+def _repaired(conv: int | None, turns: list[tuple], entry: int, exit_: int, first: bool, last: bool) -> Iterator[tuple]:
+    """Rows of the result for the turns (turn, role, code, text) of one chunk."""
+    done = path([t[2] for t in turns], entry, exit_)
+    made = render([t[3] for t in turns], done, first, last, exit_)
+    for k, ((turn, role, code, _), (put, to, merged), fragment) in enumerate(zip(turns, done, made)):
+        action = "merge" if merged else "keep" if to == code else "relabel"
+        after = ",".join(ROLES[r] for r in ending(exit_)) if last and k == len(turns) - 1 else ""
+        yield conv, turn, role, ROLES[to], action, ROLES[put] if put >= 0 else None, after or None, fragment
+
+
+def _chunked(rows: DataFrame, chunk: int) -> DataFrame:
+    """Adds sub and part_of, 0 but where turns of so few numbers are so many that a chunk would be too large: there the chunk is cut by turn number,
+    role and hash of the text, and rows alike in all by the number that they get when they are counted and listed again."""
+    n = store.parts(rows.sparkSession)
+    heavy = rows.groupBy("conv", "chunk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * chunk)
+    heavy = store.put(heavy.select(F.col("conv").alias("c"), F.col("chunk").alias("k"), F.ceil(F.col("n") / chunk).alias("m")), "heavy")
+    plain = rows.withColumn("sub", F.lit(0).cast("long")).withColumn("part_of", F.lit(0).cast("long"))
+    if heavy.isEmpty():
+        return plain
+    same = (F.col("conv") == F.col("c")) & (F.col("chunk") == F.col("k"))
+    counted = rows.join(heavy, same).groupBy("conv", "chunk", "turn", "role", "code", "text", "m").agg(F.count(F.lit(1)).alias("n"))
+    cut = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk))).alias("part_of")).repartition(n, "conv", "text", "part_of")
+    share = F.shiftrightunsigned(F.xxhash64("text"), 11).cast("double") * F.lit(2.0**-53)
+    sub = ((F.coalesce(F.col("turn") - F.col("chunk") * chunk, F.lit(0)) * 4 + F.col("code")) * F.col("m") + F.floor(share * F.col("m"))).cast("long")
+    listed = cut.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(chunk).cast("long"), F.col("n") - F.col("part_of") * chunk))))
+    listed = listed.select(*rows.columns, sub.alias("sub"), "part_of")
+    return plain.join(heavy, same, "left_anti").unionByName(listed)
+
+
 def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """(conv, turn, role, repaired_role, action, inserted_before, inserted_after, fragment), a row for each turn."""
+    store.lean(turns.sparkSession)
     n = store.parts(turns.sparkSession)
     rows = turns.select(F.col(conv_col).cast("long").alias("conv"), F.coalesce(F.floor(F.col(turn_col) / chunk), F.lit(-(1 << 62))).cast("long").alias("chunk"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), _code(F.col(role_col)).alias("code"), F.col(text_col).alias("text"))
 
+    def single(batches):
+        def rows():
+            for batch in batches:
+                for turn, role, code, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    (entry, exit_), = passages([product_of([code])])
+                    yield from _repaired(None, [(turn, role, code, text)], entry, exit_, True, True)
+
+        yield from _batched(rows(), OUT, 500)
+
+    alone = rows.where(F.col("conv").isNull()).select("turn", "role", "code", "text").mapInArrow(single, SCHEMA)
+    rows = _chunked(rows.where(F.col("conv").isNotNull()), chunk)
+
     def multiply(batches):
-        rows = ((*key, product_of([r[1] for r in group]).ravel().tolist()) for key, group in _groups(batches, 2))
-        yield from _batched(rows, [("conv", pa.int64()), ("chunk", pa.int64()), ("cost", pa.list_(pa.int64()))])
+        rows = ((*key, product_of([r[1] for r in group]).ravel().tolist()) for key, group in _groups(batches, 4))
+        yield from _batched(rows, [*((k, pa.int64()) for k in KEYS), ("cost", pa.list_(pa.int64()))])
 
-    light = rows.select("conv", "chunk", "turn", "code").repartition(n, "conv", "chunk").sortWithinPartitions("conv", "chunk", "turn", "code")
-    tables = light.mapInArrow(multiply, "conv long, chunk long, cost array<long>")
+    light = rows.select(*KEYS, "turn", "code").repartition(n, *KEYS).sortWithinPartitions(*KEYS, "turn", "code")
+    tables = light.mapInArrow(multiply, "conv long, chunk long, sub long, part_of long, cost array<long>")
 
     def lead(batches):
         def rows():
             for (conv,), group in _groups(batches, 1):
-                found = passages([np.array(c).reshape(4, 4) for _, c in group])
-                for k, ((chunk, _), (entry, exit_)) in enumerate(zip(group, found)):
-                    yield conv, chunk, entry, exit_, k == 0, k == len(group) - 1
+                found = passages([np.array(g[-1]).reshape(4, 4) for g in group])
+                for k, ((*key, _), (entry, exit_)) in enumerate(zip(group, found)):
+                    yield conv, *key, entry, exit_, k == 0, k == len(group) - 1
 
-        yield from _batched(rows(), [("conv", pa.int64()), ("chunk", pa.int64()), ("entry", pa.int32()), ("exit", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())])
+        yield from _batched(rows(), [*((k, pa.int64()) for k in KEYS), ("entry", pa.int32()), ("exit", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())])
 
-    plan = tables.repartition(n, "conv").sortWithinPartitions("conv", "chunk").mapInArrow(lead, "conv long, chunk long, entry int, exit int, first boolean, last boolean")
+    plan = tables.repartition(n, "conv").sortWithinPartitions(*KEYS).mapInArrow(lead, "conv long, chunk long, sub long, part_of long, entry int, exit int, first boolean, last boolean")
     #: Each chunk's plan comes before its turns.
-    plan = plan.select("conv", "chunk", F.lit(0).alias("part"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(0).alias("code"), F.lit(None).cast("string").alias("text"), F.struct("entry", "exit", "first", "last").alias("plan"))
-    whole = rows.select("conv", "chunk", F.lit(1).alias("part"), "turn", "role", "code", "text").withColumn("plan", F.lit(None).cast("struct<entry:int,exit:int,first:boolean,last:boolean>"))
-    dealt = plan.unionByName(whole).repartition(n, "conv", "chunk").sortWithinPartitions("conv", "chunk", "part", "turn", "code", "text")
+    plan = plan.select(*KEYS, F.lit(0).alias("part"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(0).alias("code"), F.lit(None).cast("string").alias("text"), F.struct("entry", "exit", "first", "last").alias("plan"))
+    whole = rows.select(*KEYS, F.lit(1).alias("part"), "turn", "role", "code", "text").withColumn("plan", F.lit(None).cast("struct<entry:int,exit:int,first:boolean,last:boolean>"))
+    dealt = plan.unionByName(whole).repartition(n, *KEYS).sortWithinPartitions(*KEYS, "part", "turn", "code", "text")
 
     def follow(batches):
         def rows():
-            for (conv, _), group in _groups(batches, 2):
-                plan, turns = group[0][5], group[1:]
-                done = path([t[3] for t in turns], plan["entry"], plan["exit"])
-                made = render([t[4] for t in turns], done, plan["first"], plan["last"], plan["exit"])
-                for k, ((_, turn, role, code, _, _), (put, to, merged), fragment) in enumerate(zip(turns, done, made)):
-                    action = "merge" if merged else "keep" if to == code else "relabel"
-                    after = ",".join(ROLES[r] for r in ending(plan["exit"])) if plan["last"] and k == len(turns) - 1 else ""
-                    yield conv, turn, role, ROLES[to], action, ROLES[put] if put >= 0 else None, after or None, fragment
-
-        yield from _batched(rows(), [("conv", pa.int64()), ("turn", pa.int64()), *((x, pa.string()) for x in ("role", "repaired_role", "action", "inserted_before", "inserted_after", "fragment"))], 500)
-
-    return dealt.mapInArrow(follow, "conv long, turn long, role string, repaired_role string, action string, inserted_before string, inserted_after string, fragment string")
+            for (conv, *_), group in _groups(batches, 4):
+                plan = group[0][5]
+                yield from _repaired(conv, [t[1:5] for t in group[1:]], plan["entry"], plan["exit"], plan["first"], plan["last"])
+
+        yield from _batched(rows(), OUT, 500)
+
+    return dealt.mapInArrow(follow, SCHEMA).unionByName(alone)
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
