@@ -17,7 +17,7 @@ At the threshold a pair shares no band with probability (1 - 0.75**4)**28 < 3e-5
 each, falls below LEAST with probability 4e-5; both less above it.  Sets are compared by 48 bits of each shingle's hash.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and are kept; a row with a null id
-links with nothing, has a null component and is kept; rows of equal ids are one node; other columns are ignored.
+has a null component and is kept, and links nothing; rows of equal ids are linked, whatever their texts; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -154,11 +154,15 @@ def verify(pairs: DataFrame, full: DataFrame, percent: int = PERCENT) -> DataFra
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, component_id, kept), a row for each row of docs."""
     first = store.put(profile(docs, id_col, text_col, shingle, bands, rows), "profile")
+    sets = F.struct("d1", "d2")
+    several = first.where(F.col("id").isNotNull()).groupBy("id").agg(F.min(sets).alias("x"), F.max(sets).alias("y")).where(F.col("x") < F.col("y"))
+    if not several.isEmpty():
+        store.drop(first)
+        return _by_rows(docs, id_col, text_col, shingle, percent, bands, rows)
     least = store.put(first.where(F.col("n") > 0).groupBy("d1", "d2").agg(F.min("id").alias("node")), "least")
     nodes = first.join(least, ["d1", "d2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("node", "id")).alias("node"), "keys")
     nodes = store.put(nodes.withColumn("keys", F.when((F.col("id") == F.col("node")) & (F.col("n") > 0), F.col("keys"))), "nodes")
     store.drop(first, least)
-
     banded = nodes.where(F.col("keys").isNotNull()).select("node", "n", F.explode("keys").alias("key"))
     heads = store.put(banded.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where(F.col("head") < F.col("last")).select("key", "head"), "heads")
     buckets = store.put(banded.join(heads, "key").select("key", "node", "n", "head"), "buckets")
@@ -179,6 +183,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("id", "n_shingles", F.coalesce("component", "node").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component", "node"), F.lit(True)).alias("kept"))
 
 
+def _by_rows(docs: DataFrame, id_col: str, text_col: str, *settings: int) -> DataFrame:
+    """The same where rows of equal id have different texts: rows are compared under numbers of their own (fixed by being written),
+    and then rows of one id count as linked."""
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    own = store.put(own, "rows")
+    got = store.put(near_duplicates(own, "row", "text", *settings).select(F.col("id").alias("row"), "n_shingles", F.col("component_id").alias("near")), "by-row")
+    ids = own.select("row", "id")
+    firsts = ids.groupBy("id").agg(F.min("row").alias("first"))
+    edges = got.select(F.col("row").alias("a"), F.col("near").alias("b")).unionByName(ids.join(firsts, "id").select(F.col("row").alias("a"), F.col("first").alias("b")))
+    linked = components(edges, "a", "b").withColumnRenamed("node", "row")
+    of = store.put(got.join(ids, "row").join(linked, "row", "left").select("id", "n_shingles", F.coalesce("component", "row").alias("c")), "linked")
+    out = of.join(of.groupBy("c").agg(F.min("id").alias("component_id")), "c").select("id", "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    rest = profile(docs.where(F.col(id_col).isNull()), id_col, text_col, *settings[:1], *settings[2:])
+    store.drop(own)
+    return out.unionByName(rest.select("id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
+
+
 def _across(buckets: DataFrame, groups: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a bucket, in different components, whose sizes and signatures allow the similarity.
 
