@@ -10,7 +10,9 @@ by half of one document at most.  Cells come from hashes, so no source, however
 ids, so reruns agree.
 
 Defined results: a null text has size 0; documents of size 0 are taken once at most and count 0 words; null is a source of its own,
-after all others; rows of equal ids are rounded apart; an empty table gives an empty result; other columns are ignored.
+after all others; rows of equal or null ids are rounded apart, and dealt to different cells; which of several rows that are alike in id, source
+and size takes which number of copies doesn't matter, their numbers are the same in each run; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from . import store
 
 WEIGHTS, SHARE, CAP, CELL, SEED = (5, 2, 1), 1.5, 2, 64, 29
+#: Rows that are alike and listed by one task.
+RUN = 10000
 WORD = r"[^\x20\x09-\x0D]+"
 UNIT = "struct<size:bigint,key:bigint,id:bigint,p:double>"
 STATE = f"struct<left:{UNIT},done:array<struct<id:bigint,size:bigint,more:int>>>"
@@ -31,15 +35,13 @@ STATE = f"struct<left:{UNIT},done:array<struct<id:bigint,size:bigint,more:int>>>
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """(source, source_size, target) from (source, source_size, ...), a row a source."""
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights))
-    rows = store.put(sizes.withColumn("w", weight), "weights")
-    level, capped = 0.0, -1
-    while True:  # each round caps at least one source more, and sees one row of sums
-        full = F.col("w") * level >= F.col("source_size") * float(cap)
-        r = rows.agg(F.sum("source_size"), F.sum(F.when(full, F.col("source_size") * float(cap)).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("w"))), F.count(F.when(full, 1))).first()
-        if not r[0] or not r[2] or r[3] == capped:
-            break
-        capped, level = r[3], (r[0] * share - r[1]) / r[2]
-    return rows.select("source", "source_size", "n", F.least(F.col("source_size") * float(cap), F.col("w") * level).alias("target"))
+    full = F.col("source_size") * float(cap)
+    # sources in the order in which a rising level fills them, one row a source: those before the first that the level leaves room in are full
+    order = Window.orderBy(full / F.col("w"), F.col("source").asc_nulls_last())
+    before, all_ = (lambda c: F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))), (lambda c: F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = sizes.withColumn("w", weight).withColumn("level", (all_(F.col("source_size")) * share - before(full)) / (all_(F.col("w")) - before(F.col("w")))).withColumn("at", F.row_number().over(order))
+    level = F.min(F.when(F.col("level") <= full / F.col("w"), F.struct("at", "level"))).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))["level"]
+    return rows.withColumn("level", level).select("source", "source_size", "n", F.least(full, F.col("w") * F.col("level")).alias("target"))
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -80,11 +82,24 @@ def _step(state: Column, unit: Column) -> Column:
     return F.when(a.isNull(), F.struct(unit.alias("left"), state["done"].alias("done"))).otherwise(_let(room, pair))
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """(id, source, size, key): rows alike in all of (id, source, size, text) are counted, and numbered as they are listed again, so
+    keys differ within a repeated id and are the same in every run, however the table is cut into files.  (text: null but for null ids.)"""
+    alike = [F.col(c) for c in rows.columns]
+    counted = store.put(rows.groupBy(*alike).agg(F.count(F.lit(1)).alias("n")), "counted")
+    blocks = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / RUN))
+    many = counted.where(F.col("n") > 1).select("*", F.explode(blocks).alias("block")).repartition(store.parts(rows.sparkSession), "id", "text", "block")
+    listed = many.select("id", "source", "size", "text", F.explode(F.sequence(F.col("block") * RUN, F.least(F.col("n"), (F.col("block") + 1) * RUN) - 1)).alias("nth"))
+    one = counted.where(F.col("n") == 1).select("id", "source", "size", "text", F.lit(0).cast("long").alias("nth"))
+    return one.unionByName(listed).select("id", "source", "size", F.xxhash64("id", "source", "size", "text", "nth", F.lit(SEED)).alias("key"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """(id, source, size, source_size, target, copies, taken), a row for each row of docs; taken = copies * size."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.monotonically_increasing_id().alias("at"))
-    sized = store.put(rows.select("id", "source", "size", F.xxhash64(F.coalesce("id", "at"), F.col("id").isNull(), F.lit(SEED)).alias("key")), "sized")
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), size, F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col))).alias("text"))
+    sized = store.put(_keyed(rows), "sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n"))
     goal = store.put(targets(sizes, weights, share, cap).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "targets")
     whole, p = F.floor("rate"), F.col("rate") - F.floor("rate")
