@@ -25,25 +25,40 @@ def folder(spark: SparkSession) -> str:
     return folder.own
 
 
+_written: list[str] = []
+
+
 def put(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet under a fresh name and returns it as read back."""
     spark = df.sparkSession
     lean(spark)
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._riskloom_path = path
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _written:
+        _written.remove(path)
+
+
 def drop(*tables: DataFrame) -> None:
     """Removes tables that put() wrote and that nothing needs any more."""
     for df in tables:
         path = getattr(df, "_riskloom_path", None)
         if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all tables of this process that are still there.  Results read from them, so call it once those are written or gone."""
+    for path in list(_written):
+        _delete(spark, path)
 
 
 def parts(spark: SparkSession) -> int:
