@@ -6,6 +6,7 @@ nearest domain and the sound codes alone.
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,45 +24,66 @@ def _forms(forms: Column) -> Column:
     return F.transform(forms, lambda f: F.struct(F.coalesce(f["action"], F.lit("")).alias("action"), F.coalesce(f["method"], F.lit("get")).alias("method"), count(f, "password").alias("n_password"), count(f, "hidden").alias("n_hidden")))
 
 
-def scan(pages: DataFrame, allowed: DataFrame | None = None, keep: tuple[str, ...] = (), cat: brands.Catalogue = brands.CATALOGUE) -> DataFrame:
-    """``url`` and ``html`` (null: the page couldn't be read), and any of OPTIONAL, to the columns of ``keep``, then url, verdict, score, confidence,
-    level_caught, safety, l2_score and a breakdown.
+#: Expressions that scans of one session share, by what they depend on; making them is most of the work of building a plan.
+_MADE: dict[tuple, tuple] = {}
 
-    Without any model's column, addresses that the rules leave open fall back to the rules' score.  Null addresses get the verdict
-    of an address without parts; repeated rows give repeated results; other columns are dropped.
-    """
-    given = lambda n, kind: F.col(n).cast(kind) if n in pages.columns else F.lit(None).cast(kind)
-    rows = pages.select(F.struct(*[F.col(c) for c in keep], F.lit(0).alias("__")).alias("k"), F.coalesce(F.col("url"), F.lit("")).alias("url"), "html", F.struct(*[given(n, t).alias(n) for n, t in OPTIONAL.items()]).alias("m"))
-    rows = rows.withColumn("u", F.struct(*[c.alias(n) for n, c in urls.parsed(F.col("url")).items()])).withColumn("p", markup.page(F.col("html")))
-    rows = rows.withColumn("said", F.when(F.col("html").isNotNull(), F.concat_ws(" ", "p.title", "p.visible_text", F.array_join("p.image_alts", " "), "p.meta_description")))
-    host, page, m = F.col("u.host"), F.col("p"), F.col("m")
-    rows = rows.withColumn("near", brands.nearest(host, cat)).withColumn("flags", urls.obfuscation_flags(F.col("url"), host)).withColumn("named", brands.mentions(F.col("said"), cat))
-    rows = rows.withColumn("brand", brands.page_brand(F.col("named"))).withColumn("off", brands.anchors_off(page["anchors"], host, cat))
+
+def _expressions(cat: brands.Catalogue) -> dict:
+    """All expressions of a scan, over its own names of columns; made once a session and catalogue."""
+    context = SparkContext._active_spark_context
+    if (held := _MADE.get((id(context), id(cat)))) is None or held[0] is not context or held[1] is not cat:
+        _MADE.clear()
+        held = _MADE[id(context), id(cat)] = (context, cat, _made(cat))
+    return held[2]
+
+
+def _made(cat: brands.Catalogue) -> dict:
+    host, page, m, url, html = F.col("u.host"), F.col("p"), F.col("m"), F.col("url"), F.col("html")
+    struct = lambda columns: F.struct(*[c.alias(n) for n, c in columns.items()])
     squat, sound = brands.combosquat(host, F.col("brand"), cat), brands.sound_alike(host, F.col("brand"), cat)
-    risk = urls.tld_risk(urls.tld(host))
-    mismatch = brands.composite([brands.page_mismatch(host, F.col("named"), cat), brands.anchor_score(F.col("off")), F.col("near.score"), squat["combosquat_score"], sound["phonetic_score"], risk])
+    mismatch = brands.composite([brands.page_mismatch(host, F.col("named"), cat), brands.anchor_score(F.col("off")), F.col("near.score"), squat["combosquat_score"], sound["phonetic_score"], urls.tld_risk(urls.tld(host))])
     forms = _forms(page["forms"])
     signals = {
         "urgency_keyword": scoring.patterns(page["visible_text"])["pattern_score"], "domain_mismatch": mismatch, "url_obfuscation": urls.flag_score(F.col("flags")), "form_password_field": page["n_password"] > 0,
-        **scoring.form_signals(forms, F.col("url"), host), "github_new_repo": m["repo_new"], "github_few_commits": m["repo_few_commits"], "github_password_in_readme": m["repo_password"], "ip_based_url": F.col("u.is_ip"), "fetch_failed": F.col("html").isNull(),
+        **scoring.form_signals(forms, url, host), "github_new_repo": m["repo_new"], "github_few_commits": m["repo_few_commits"], "github_password_in_readme": m["repo_password"], "ip_based_url": F.col("u.is_ip"), "fetch_failed": html.isNull(),
     }
-    ready = rows.select("k", "url", "u", "m", "html", "p", "brand", "flags", "near", F.struct(*[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in signals.items()]).alias("signals"), forms.alias("forms"), *[c.alias(n) for n, c in (squat | sound | layout.handlers(page["forms"])).items()])
-    ready = ready.withColumn("l2", scoring.weighted({n: F.col("signals")[n] for n in signals}))
     # the forms of a page that couldn't be read are none
-    found = F.coalesce(F.transform("forms", lambda f: scoring.form_score(f, urls.origin(F.col("url")), F.col("url"))), F.array().cast("array<double>"))
+    found = F.coalesce(F.transform("forms", lambda f: scoring.form_score(f, urls.origin(url), url)), F.array().cast("array<double>"))
     parts = {
-        "fear_score": lexicon.fear(page["visible_text"], *(F.coalesce(m[c], F.lit(0.0)) for c in ("anger", "joy", "sadness")))["fear_score"], "form_score": scoring.page_form_score(found, F.col("html"), urls.origin(F.col("url"))),
+        "fear_score": lexicon.fear(page["visible_text"], *(F.coalesce(m[c], F.lit(0.0)) for c in ("anger", "joy", "sadness")))["fear_score"], "form_score": scoring.page_form_score(found, html, urls.origin(url)),
         "ocr_score": lexicon.image_text(m["ocr_text"])["ocr_score"], "visual_score": cascade.spoof(m["similarity"], F.col("u.registered"), m["expected_domain"]),
     }
-    ready = ready.withColumn("parts", F.struct(*[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in parts.items()]))
     fused = scoring.fused({n: F.col("parts")[n] for n in parts}, F.col("l2"))
-    if not any(c in pages.columns for c in MODELS):
-        fused = {n: F.lit(None).cast("string" if n == "verdict" else "double") for n in fused}
+    none = {n: F.lit(None).cast("string" if n == "verdict" else "double") for n in fused}
+    decided = lambda f: [c.alias(n) for n, c in cascade.decided(F.col("fast_path"), m["cached_verdict"], F.col("l2"), f).items()]
+    ready = ["k", "url", "u", "m", "html", "p", "brand", "flags", "near"]
+    breakdown = F.struct("signals", "parts", "flags", "brand", F.col("near.brand").alias("nearest_brand"), "phonetic_brand", "combosquat_pattern", "handler_empty", "handler_blank", "partial_match")
+    return {
+        "read": {"u": struct(urls.parsed(url)), "p": markup.page(html)},
+        "said": {"said": F.when(html.isNotNull(), F.concat_ws(" ", "p.title", "p.visible_text", F.array_join("p.image_alts", " "), "p.meta_description")), "near": brands.nearest(host, cat), "flags": urls.obfuscation_flags(url, host), "off": brands.anchors_off(page["anchors"], host, cat)},
+        "named": {"named": brands.mentions(F.col("said"), cat)}, "brand": {"brand": brands.page_brand(F.col("named"))},
+        "ready": [*map(F.col, ready), F.struct(*[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in signals.items()]).alias("signals"), forms.alias("forms"), *[c.alias(n) for n, c in (squat | sound | layout.handlers(page["forms"])).items()]],
+        "scored": {"l2": scoring.weighted({n: F.col("signals")[n] for n in signals}), "parts": F.struct(*[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in parts.items()])}, "domain": F.col("u.registered"), "no": F.lit(False),
+        "decided": {True: decided(fused), False: decided(none)}, "out": ["url", "verdict", "score", "confidence", "level_caught", scoring.safety(F.col("verdict"), F.col("score")).alias("safety"), F.col("l2").alias("l2_score"), breakdown.alias("breakdown")],
+    }
+
+
+def scan(pages: DataFrame, allowed: DataFrame | None = None, keep: tuple[str, ...] = (), cat: brands.Catalogue = brands.CATALOGUE) -> DataFrame:
+    """``url`` and ``html`` (null: the page couldn't be read), and any of OPTIONAL, to the columns of ``keep``, then url, verdict, score, confidence,
+    level_caught, safety, l2_score and a breakdown.
+
+    Without any model's column, addresses that the rules leave open fall back to the rules' score.  Null addresses get the verdict
+    of an address without parts; repeated rows give repeated results; other columns are dropped.
+    """
+    x = _expressions(cat)
+    optional = ", ".join(f"CAST({n if n in pages.columns else 'NULL'} AS {t}) AS {n}" for n, t in OPTIONAL.items())
+    rows = pages.select(F.struct(*[F.col(c) for c in keep], F.lit(0).alias("__")).alias("k"), F.expr("coalesce(url, '') AS url"), "html", F.expr(f"struct({optional}) AS m"))
+    for step in ("read", "said", "named", "brand"):
+        rows = rows.withColumns(x[step])
+    ready = rows.select(*x["ready"]).withColumns(x["scored"])
     if allowed is not None:
-        ready = cascade.gate(ready.withColumn("domain", F.col("u.registered")), allowed)
+        ready = cascade.gate(ready.withColumn("domain", x["domain"]), allowed)
     else:
-        ready = ready.withColumn("fast_path", F.lit(False)).withColumn("partial_match", F.lit(False))
-    out = cascade.decided(F.col("fast_path"), m["cached_verdict"], F.col("l2"), fused)
-    result = ready.select("*", *[c.alias(n) for n, c in out.items()])
-    breakdown = F.struct("signals", "parts", "flags", "brand", F.col("near.brand").alias("nearest_brand"), "phonetic_brand", "combosquat_pattern", "handler_empty", "handler_blank", "partial_match")
-    return result.select(*[F.col("k")[c].alias(c) for c in keep], "url", "verdict", "score", "confidence", "level_caught", scoring.safety(F.col("verdict"), F.col("score")).alias("safety"), F.col("l2").alias("l2_score"), breakdown.alias("breakdown"))
+        ready = ready.withColumns({"fast_path": x["no"], "partial_match": x["no"]})
+    result = ready.select("*", *x["decided"][any(c in pages.columns for c in MODELS)])
+    return result.select(*[F.col("k")[c].alias(c) for c in keep], *x["out"])
