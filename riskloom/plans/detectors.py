@@ -74,28 +74,58 @@ def F8_hidden_parameters(spark, sf_dir):
     return rows.select("page_id", F.get(actions.hidden_parameters(F.concat(F.lit("a=1&next="), value)), F.lit(0)).alias("p")).select("page_id", "p.name", "p.text")
 
 
-RECORD = """CASE WHEN page_id % 5 = 4 THEN NULL ELSE 'Domain Name: EXAMPLE.TEST\nCreation Date: ' || CASE page_id % 3 WHEN 0 THEN '2024-01-05T06:00:00Z' WHEN 1 THEN '2023-12-25' ELSE '12-Apr-2023' END || '\n  Registrar: ' || CASE page_id % 4 WHEN 0 THEN 'GoDaddy.com, LLC' WHEN 1 THEN 'NameCheap, Inc.' WHEN 2 THEN 'Other' ELSE '' END
-|| '\nRegistry Expiry Date: 2025-01-05 18:00:00\n' || CASE WHEN page_id % 2 = 0 THEN 'Registrant Organization: Google LLC\n' ELSE 'Registrant Phone: +1.5550100\n' END END"""
+#: A registration record by the page's id and address; both engines read the same rule.  {nl} is a line end.
+_TWO = "lpad(CAST(1 + page_id * {k} % {n} AS VARCHAR(2)), 2, '0')"
+_DAY, _MONTH, _YEAR = _TWO.format(k=7, n=28), _TWO.format(k=5, n=12), "CAST(2019 + page_id % 5 AS VARCHAR(4))"
+_MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
+_NAME = "CASE page_id * 5 % 12 " + " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(_MONTHS)) + " END"
+RECORD = f"""CASE WHEN page_id % 11 = 4 THEN NULL ELSE 'Domain Name: ' || upper(url) || {{nl}} || CASE page_id % 5 WHEN 0 THEN 'Creation Date: ' || {_YEAR} || '-' || {_MONTH} || '-' || {_DAY} || 'T' || lpad(CAST(page_id % 24 AS VARCHAR(2)), 2, '0') || ':30:00Z' WHEN 1 THEN 'created: ' || {_YEAR} || '-' || {_MONTH} || '-' || {_DAY}
+WHEN 2 THEN '  Registered On: ' || {_DAY} || '-' || {_NAME} || '-' || {_YEAR} WHEN 3 THEN 'Creation Date:' || {{nl}} || 'Registered: ' || {_YEAR} || '-' || {_MONTH} || '-' || {_DAY} || ' 18:00:00' ELSE 'Creation Date: soon' END || {{nl}}
+|| CASE WHEN page_id % 3 = 0 THEN 'Registry Expiry Date: 2026-' || {_MONTH} || '-' || {_DAY} || {{nl}} ELSE '' END || CASE WHEN page_id % 4 = 1 THEN 'Updated Date: 2024-01-' || {_DAY} || {{nl}} ELSE '' END
+|| CASE page_id % 6 WHEN 0 THEN 'Registrar: GoDaddy.com, LLC' WHEN 1 THEN 'Sponsoring Registrar: NameCheap, Inc.' WHEN 2 THEN 'Registrar: Other ' || CAST(page_id AS VARCHAR(20)) WHEN 3 THEN 'Registrar:' || {{nl}} || 'Registrar Name: MarkMonitor with epik' WHEN 4 THEN 'registrar: ePik' ELSE 'Nothing: here' END || {{nl}}
+|| CASE page_id % 7 WHEN 0 THEN 'Registrant Organization: Google LLC' WHEN 1 THEN 'Registrant Org: Shop ' || CAST(page_id AS VARCHAR(20)) WHEN 2 THEN 'Registrant Organization:' WHEN 3 THEN 'Registrant Email: a@example.com' ELSE 'Registrant Phone: +1.555' || CAST(page_id AS VARCHAR(20)) END END"""
 
 
-@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 27 WHEN 1 THEN 38 ELSE 295 END * k AS domain_age_days, 340 * k AS domain_expiry_days, NULL::BIGINT AS days_since_last_update, CASE WHEN k = 1 THEN CASE page_id % 4 WHEN 0 THEN 'major' WHEN 1 THEN 'budget' ELSE 'unknown' END END AS registrar_category,
-CASE WHEN k = 1 THEN page_id % 2 = 0 END AS has_registrant_org, CASE WHEN k = 1 THEN false END AS has_registrant_email, CASE WHEN k = 1 THEN page_id % 2 = 1 END AS has_registrant_phone, CASE WHEN k = 1 AND page_id % 2 = 0 THEN true END AS domain_name_match FROM (SELECT page_id, CASE WHEN page_id % 5 < 4 THEN 1 END AS k FROM pages)""")
+def _line(kind: str) -> str:
+    """The first line with one of the keys and a value."""
+    return "nullif(trim(regexp_extract(raw, '(?im)^[ \\t]*(?:" + "|".join(config.REGISTRATION_KEYS[kind]) + ")[ \\t]*:[ \\t]*([^ \\t\\n][^\\n]*)$', 1)), '')"
+
+
+def _when(kind: str) -> str:
+    t = _line(kind)
+    one = lambda p, f: f"try_strptime(nullif(regexp_extract({t}, '{p}', 1), ''), '{f}')"
+    return f"coalesce({one('([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8})', '%Y-%m-%dT%H:%M:%S')}, {one('([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9:]{8})', '%Y-%m-%d %H:%M:%S')}, {one('([0-9]{4}-[0-9]{2}-[0-9]{2})', '%Y-%m-%d')}, {one('([0-9]{2}-[A-Za-z]{3}-[0-9]{4})', '%d-%b-%Y')})"
+
+
+def _days(a: str, b: str) -> str:
+    return f"floor((epoch_ms({b}) - epoch_ms({a})) / 86400000.0 + 0.5)::BIGINT"
+
+
+_NOW = "TIMESTAMP '2024-02-01 00:00:00'"
+
+
+@query(f"""WITH r AS (SELECT page_id, {RECORD.format(nl="chr(10)")} AS raw FROM pages), f AS (SELECT *, {_when("created")} AS created, {_when("expires")} AS expires, {_when("updated")} AS updated, lower({_line("registrar")}) AS registrar, {_line("org")} AS org, {_line("email")} AS email, {_line("phone")} AS phone FROM r)
+SELECT page_id, {_days("created", _NOW)} AS domain_age_days, {_days(_NOW, "expires")} AS domain_expiry_days, {_days("updated", _NOW)} AS days_since_last_update, CASE WHEN raw IS NULL THEN NULL WHEN {_contains("registrar", config.MAJOR_REGISTRARS)} > 0 THEN 'major' WHEN {_contains("registrar", config.BUDGET_REGISTRARS)} > 0 THEN 'budget' ELSE 'unknown' END AS registrar_category,
+CASE WHEN raw IS NOT NULL THEN org IS NOT NULL END AS has_registrant_org, CASE WHEN raw IS NOT NULL THEN email IS NOT NULL END AS has_registrant_email, CASE WHEN raw IS NOT NULL THEN phone IS NOT NULL END AS has_registrant_phone, contains(lower(org), 'google') AS domain_name_match FROM f""")
 def E1_registration(spark, sf_dir):
-    rows = _load(spark, sf_dir, "pages").select("page_id", F.expr(RECORD.replace("\n|| ", " || ").replace("\n", "\\n")).alias("raw"))
+    rows = _load(spark, sf_dir, "pages").selectExpr("page_id", f"{RECORD.format(nl='chr(10)')} AS raw")
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     return rows.select("page_id", *[c.alias(k) for k, c in registration.features(F.col("raw"), now, F.lit("google")).items()])
 
 
-REPO_URL = "CASE page_id % 4 WHEN 0 THEN 'https://alice.github.io/site/x' WHEN 1 THEN 'https://github.com/bob/tool' WHEN 2 THEN 'https://github.com/bob' ELSE url END"
+REPO_URL = """CASE page_id % 5 WHEN 0 THEN 'https://user' || CAST(page_id % 30 AS VARCHAR(9)) || '.github.io/site' || CAST(page_id AS VARCHAR(20)) || '/x' WHEN 1 THEN 'https://github.com/bob' || CAST(page_id % 9 AS VARCHAR(9)) || '/tool?x' WHEN 2 THEN 'https://github.com/bob' WHEN 3 THEN 'https://raw.githubusercontent.com/eve/r' || CAST(page_id AS VARCHAR(20)) || '/main' ELSE url END"""
 
 
-@query(f"""WITH r AS (SELECT page_id, {REPO_URL} AS u, page_id % 40 < 7 AS young, page_id % 7 < 3 AS few, page_id % 3 = 0 AS pw, page_id % 5 = 0 AS cross_ FROM pages)
-SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'alice' WHEN 1 THEN 'bob' END AS owner, CASE page_id % 4 WHEN 0 THEN 'site' WHEN 1 THEN 'tool' END AS repo, pw AND contains(u, 'github.io') AS critical_password,
-round(least(1.0, CASE WHEN pw AND contains(u, 'github.io') THEN 0.8 WHEN pw THEN 0.5 ELSE 0 END + cross_::INT * 0.6 + young::INT * 0.4 + few::INT * 0.3), 3)::DOUBLE AS repo_score FROM r""")
+@query(f"""WITH r AS (SELECT page_id, {REPO_URL} AS u, page_id % 40 AS age, page_id % 7 AS commits, page_id % 3 = 0 AS pw, page_id % 5 = 0 OR page_id % 8 = 3 AS cross_ FROM pages),
+s AS (SELECT *, regexp_extract(u, '^https?://([^/?#:]*)', 1) AS host, list_filter(string_split(regexp_extract(u, '^https?://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM r),
+p AS (SELECT *, host IN ('github.com', 'raw.githubusercontent.com') AND len(parts) >= 2 AS named, ends_with(host, '.github.io') AND len(parts) >= 1 AS paged, pw AND (contains(u, 'github.io') OR contains(u, 'githubusercontent.com')) AS critical FROM s)
+SELECT page_id, CASE WHEN named THEN parts[1] WHEN paged THEN replace(host, '.github.io', '') END AS owner, CASE WHEN named THEN parts[2] WHEN paged THEN parts[1] END AS repo, critical AS critical_password, least(commits * 3, 10)::BIGINT AS commit_count, least(commits, 5)::BIGINT AS contributor_count,
+round(least(1.0, CASE WHEN critical THEN 0.8 WHEN pw THEN 0.5 ELSE 0 END + cross_::INT * 0.6 + (age < 7)::INT * 0.4 + (commits < 3)::INT * 0.3), 3)::DOUBLE AS repo_score FROM p""")
 def A18_repository(spark, sf_dir):
     i = F.col("page_id")
-    rows = _load(spark, sf_dir, "pages").select("page_id", F.expr(REPO_URL).alias("url")).withColumn("r", registration.repository(F.col("url")))
-    return rows.select("page_id", "r.owner", "r.repo", *[c.alias(k) for k, c in registration.repository_score(i % 40, i % 7, i % 3 == 0, i % 5 == 0, F.col("url")).items()])
+    rows = _load(spark, sf_dir, "pages").selectExpr("page_id", f"{REPO_URL} AS url").withColumn("r", registration.repository(F.col("url")))
+    scores = registration.repository_score(i % 40, i % 7, i % 3 == 0, (i % 5 == 0) | (i % 8 == 3), F.col("url")) | {k: c.cast("long") for k, c in registration.bounded_counts(i % 7 * 3, i % 7).items()}
+    return rows.select("page_id", "r.owner", "r.repo", *[c.alias(k) for k, c in scores.items()])
 
 
 #: Forms, images and head elements put into each page's own markup, by its id; the rule is plain SQL of both engines.
