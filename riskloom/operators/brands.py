@@ -140,7 +140,7 @@ def anchor_score(off: Column) -> Column:
 
 def anchor_details(off: Column) -> Column:
     """The first ten mismatches, texts cut to 100 and addresses to 200 characters."""
-    return F.transform(F.slice(off, 1, 10), lambda m: F.struct(F.substring(m["text"], 1, 100).alias("text"), F.substring(m["href"], 1, 200).alias("href"), m["expected"].alias("expected"), m["domain"].alias("domain"), m["brand"].alias("brand"), m["severity"].alias("severity")))
+    return F.transform(F.slice(off, 1, 10), lambda m: F.struct(F.substring(m["text"], 1, config.LIMITS["anchor_text"]).alias("text"), F.substring(m["href"], 1, config.LIMITS["href"]).alias("href"), m["expected"].alias("expected"), m["domain"].alias("domain"), m["brand"].alias("brand"), m["severity"].alias("severity")))
 
 
 def combosquat(host: Column, brand: Column, cat: Catalogue = CATALOGUE) -> dict[str, Column]:

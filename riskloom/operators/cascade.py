@@ -27,6 +27,11 @@ def rank_bucket(rows: DataFrame, key: str, ranks: DataFrame | None, rank: str =
     return rows.join(known, F.col(key) == F.col("__key"), "left").withColumn("bucket", bucket).drop("__key", "__rank")
 
 
+def bounded(columns: dict[str, Column]) -> dict[str, Column]:
+    """What goes to the models and into a report, cut to config.LIMITS characters; nulls stay."""
+    return {n: F.substring(c, 1, config.LIMITS[n]) for n, c in columns.items()}
+
+
 def gate(rows: DataFrame, allowed: DataFrame, domain: str = "domain") -> DataFrame:
     """Adds ``fast_path`` and ``partial_match``: allowed domains pass, those where anyone can host only match in part.
 

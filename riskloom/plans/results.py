@@ -184,10 +184,17 @@ def S13_newest_files(spark, sf_dir):
     return history.newest(_load(spark, sf_dir, "events").select("event_id", "ts"), [F.desc("ts"), F.desc("event_id")], 500).select("event_id")
 
 
-@query("SELECT page_id, length(html) > 50 AS cut, html[:50] AS html FROM pages")
+#: Long and short forms of each page's own markup, by its id.
+_LONG = "CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN repeat(html, 40) WHEN 2 THEN NULL ELSE repeat(html, 3) END"
+
+
+@query(f"SELECT page_id, length(h[:50000]) AS n_html, md5(h[:50000]) AS html, md5(h[:5000]) AS visible_text, h[:100] AS anchor_text, h[:200] AS href, md5(h[:2000]) AS ocr_text FROM (SELECT page_id, {_LONG} AS h FROM pages)")
 def P6_bounded_payload(spark, sf_dir):
-    """The limit is the feature: payloads for display."""
-    return _load(spark, sf_dir, "pages").select("page_id", (F.length("html") > 50).alias("cut"), F.substring("html", 1, 50).alias("html"))
+    """The limits are the feature: what goes to the models and into a report."""
+    rows = _load(spark, sf_dir, "pages").selectExpr("page_id", f"{_LONG} AS h")
+    cut = cascade.bounded({n: F.col("h") for n in ("html", "visible_text", "anchor_text", "href", "ocr_text")})
+    plain = ("anchor_text", "href")
+    return rows.select("page_id", F.length(cut["html"]).cast("long").alias("n_html"), *[(c if n in plain else F.md5(F.encode(c, "UTF-8"))).alias(n) for n, c in cut.items()])
 
 
 @query(f"WITH {_HISTORY} SELECT date_trunc('hour', ts) AS window_start, verdict, count(*) AS n, round(avg(value), 6) AS mean FROM h GROUP BY 1, 2")
