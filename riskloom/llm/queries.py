@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, fingerprints, licenses, mixing, near_dedup, passages, quality, secrets, url_filter
+from . import alignment, chat, clusters, decontaminate, fingerprints, licenses, mixing, near_dedup, passages, quality, secrets, toxicity, url_filter
 
-MODULES = (fingerprints, quality, passages, secrets, licenses, chat, near_dedup, url_filter, mixing, decontaminate)
+MODULES = (fingerprints, quality, passages, secrets, licenses, chat, near_dedup, url_filter, mixing, decontaminate, alignment, clusters, toxicity)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
 if corpus_pipeline.ORACLE_SQL:
