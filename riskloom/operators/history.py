@@ -1,11 +1,12 @@
-"""Keyed verdict history: expiry, latest entry, revalidation and rate limits."""
+"""Keyed verdict history: expiry, last entries, revalidation and rate limits."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import config
+from riskloom.operators import renewal
 
 
 def ttl(verdict: Column) -> Column:
@@ -19,20 +20,8 @@ def cache_key(url: Column) -> Column:
 
 
 def stamped(results: DataFrame, url: str, ts: str, version: int) -> DataFrame:
-    """Results as entries of the keyed store: key, when they expire, and the version of the features they hold."""
-    return results.withColumns({"cache_key": cache_key(F.col(url)), "expires": (F.col(ts).cast("timestamp") + F.make_dt_interval(secs=ttl(F.col("verdict")))), "cache_version": F.lit(version)})
-
-
-def put(entries: DataFrame, path: str, ts: str, order: str) -> None:
-    """Adds entries to a store of files; readers take each key's latest, and ``compact`` drops the rest."""
-    entries.write.mode("append").parquet(path)
-
-
-def compact(entries: DataFrame, ts: str, order: str, now: str) -> DataFrame:
-    """The store with one entry a key, the latest, and none that has expired."""
-    rest = [c for c in entries.columns if c != "cache_key"]
-    live = entries.where(F.col("expires") > F.lit(now).cast("timestamp"))
-    return live.groupBy("cache_key").agg(F.max_by(F.struct(*rest), F.struct(ts, order)).alias("e")).select("cache_key", "e.*")
+    """Results as entries of the keyed store: key, when they expire, the version of the features they hold, and that they stand."""
+    return results.withColumns({"cache_key": cache_key(F.col(url)), "expires": (F.col(ts).cast("timestamp") + F.make_dt_interval(secs=ttl(F.col("verdict")))), "cache_version": F.lit(version), "deleted": F.lit(False)})
 
 
 def of_version(entries: DataFrame, version: int) -> DataFrame:
@@ -40,26 +29,34 @@ def of_version(entries: DataFrame, version: int) -> DataFrame:
     return entries.where(F.col("cache_version") == version)
 
 
-def latest(entries: DataFrame, key: str, ts: str, now: str, order: str) -> DataFrame:
-    """The latest entry of each key that isn't expired at ``now``; max_by combines before the shuffle."""
-    at = F.lit(now).cast("timestamp")
-    live = entries.where((F.col(ts) <= at) & (F.unix_timestamp(ts) + ttl(F.col("verdict")) > F.unix_timestamp(at)))
+def last_entries(entries: DataFrame, key: str, ts: str, order: str, now: str | None = None) -> DataFrame:
+    """The last entry of each key, whatever it is: a write takes the place of the one before, and so does an invalidation.
+
+    Of entries at one instant the greater ``order`` is the last.  max_by combines before the shuffle, so a hot key sends one row a task.
+    A row without a time is no entry.  Null keys are one key.
+    """
     rest = [c for c in entries.columns if c != key]
-    return live.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(ts, order)).alias("e")).select(key, "e.*")
+    seen = entries.where(F.col(ts).isNotNull() if now is None else F.col(ts) <= F.lit(now).cast("timestamp"))
+    return seen.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(ts, order)).alias("__last")).select(key, *[F.col("__last")[c].alias(c) for c in rest])
+
 
+def standing(last: DataFrame, ts: str, now: str, version: int | None = None) -> DataFrame:
+    """Of last entries, those that a look-up at ``now`` returns: neither deleted, nor of another version, nor expired.
 
-def revalidation(entries: DataFrame, key: str, ts: str, order: str) -> DataFrame:
-    """What to do at each observation, given the one before under the same key."""
-    w = Window.partitionBy(key).orderBy(ts, order)
-    before, hash_, age = F.lag("verdict").over(w), F.lag("html_hash").over(w), F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(w))
-    same = hash_ == F.col("html_hash")
-    action = (
-        F.when(before.isNull() | (age >= ttl(before)), "scan")
-        .when((before == "SAFE") & hash_.isNull(), "rescan")
-        .when((before == "SAFE") | ((before == "MALICIOUS") & hash_.isNotNull() & (age > 86400)), F.when(same, "recheck_serve").otherwise("invalidate_rescan"))
-        .otherwise("serve")
-    )
-    return entries.withColumn("action", action)
+    ``deleted`` and ``cache_version`` are looked at where the table has them; a null verdict expires like any but MALICIOUS.
+    """
+    age = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
+    good = age < F.coalesce(ttl(F.col("verdict")), F.lit(config.TTL_SECONDS["other"])).cast("long") * 1_000_000
+    if "deleted" in last.columns:
+        good &= ~F.coalesce(F.col("deleted"), F.lit(False))
+    if version is not None:
+        good &= F.coalesce(F.col("cache_version") == version, F.lit(False))
+    return last.where(good)
+
+
+def latest(entries: DataFrame, key: str, ts: str, now: str, order: str, version: int | None = None) -> DataFrame:
+    """What a look-up of every key returns at ``now``; the last entry decides, and if it doesn't stand, the look-up is a miss."""
+    return standing(last_entries(entries, key, ts, order, now), ts, now, version)
 
 
 def rate_limited(requests: DataFrame, key: str, ts: str, most: int = 60, window: str = "1 minute") -> DataFrame:
@@ -79,7 +76,24 @@ def window_stats(results: DataFrame, ts: str, verdict: str, value: str, window:
     return by.select(F.col("w.start").alias("window_start"), verdict, "n", "mean")
 
 
-def lookup_due(rows: DataFrame, key: str, ts: str, order: str, seconds: int = 86400) -> DataFrame:
-    """Adds ``lookup``: whether a row is the first of its key or a day and more after the one before."""
-    before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts, order))
-    return rows.withColumn("lookup", before.isNull() | (F.unix_timestamp(ts) - F.unix_timestamp(before) >= seconds))
+def revalidation(entries: DataFrame, key: str, ts: str, order: str, block: int = renewal.BLOCK) -> DataFrame:
+    """What to do at each observation, given what was written under its key.
+
+    A scan or rescan writes the observation's ``verdict`` and ``html_hash``; one that is served writes nothing, so entries age from their
+    writing.  A null verdict is a scan that failed, which writes nothing; a null hash can't be verified and counts as changed.
+    """
+    verdict, hashed = F.col("verdict"), F.col("html_hash").isNotNull()
+    known = renewal.found(
+        entries, key, ts, order,
+        keep=F.when(verdict.isNotNull(), ttl(verdict).cast("long") * 1_000_000),
+        check=F.when((verdict == "SAFE") & hashed, F.lit(-1)).when((verdict == "MALICIOUS") & hashed, F.lit(config.REVERIFY_SECONDS * 1_000_000)),
+        mark=F.col("html_hash"), always=(verdict == "SAFE") & ~hashed, out="action", block=block,
+    )
+    says = {"absent": "scan", "renewed": "rescan", "changed": "invalidate_rescan", "same": "recheck_serve", "held": "serve"}
+    return known.withColumn("action", F.element_at(F.create_map(*[F.lit(x) for pair in says.items() for x in pair]), F.col("action")))
+
+
+def lookup_due(rows: DataFrame, key: str, ts: str, order: str, seconds: int = 86400, block: int = renewal.BLOCK) -> DataFrame:
+    """Adds ``lookup``: whether a row's key was never looked up, or longer ago than ``seconds``; only a look-up starts the time anew."""
+    known = renewal.found(rows, key, ts, order, keep=F.lit(seconds * 1_000_000 + 1), out="lookup", block=block)
+    return known.withColumn("lookup", F.col("lookup") == "absent")

@@ -6,12 +6,15 @@ both engines read, since the plain rows have no forms, brands or addresses of th
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom import config
 from riskloom.functions import markup, urls
 from riskloom.operators import cascade, history, profile, scoring, vectors
+from riskloom.sources import scratch, verdicts
 
 #: Reserved names only, besides the brand tokens that the rules need.
 URL_CASES = """SELECT page_id, CASE page_id % 9
@@ -133,13 +136,46 @@ _HISTORY = "h AS (" + HISTORY.format(events="events") + ")"
 _TTL = "CASE WHEN verdict = 'MALICIOUS' THEN 259200 ELSE 86400 END"
 
 
-@query(f"WITH {_HISTORY}, l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM h WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' AND epoch(date_trunc('second', ts)) + {_TTL} > epoch(TIMESTAMP '2024-01-20 00:00:00')) SELECT user_id, event_id, verdict FROM l WHERE r = 1")
+_NOW = "2024-01-20 00:00:00"
+#: History as entries of the store: one in five invalidates, and one in ten has the features of an older version.
+ENTRIES = f"SELECT user_id, event_id, ts, CASE WHEN value IS NULL THEN NULL WHEN event_id % 10 = 3 THEN 1 ELSE 2 END AS cache_version, event_id % 5 = 4 AS deleted, verdict FROM ({HISTORY})"
+_STANDING = f"""l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM ({ENTRIES.format(events="events")}) WHERE ts <= TIMESTAMP '{_NOW}'),
+k AS (SELECT *, epoch_us(TIMESTAMP '{_NOW}') - epoch_us(ts) AS age FROM l WHERE r = 1 AND NOT deleted AND cache_version = 2)"""
+
+
+def _entries(spark, sf_dir):
+    return spark.sql(ENTRIES, events=_load(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value"))
+
+
+@query(f"WITH {_STANDING} SELECT user_id, event_id, verdict FROM k WHERE age < {_TTL} * 1000000::BIGINT")
 def C3_cache_lookup(spark, sf_dir):
-    return history.latest(_history(spark, sf_dir).select("user_id", "event_id", "ts", "verdict"), "user_id", "ts", "2024-01-20 00:00:00", "event_id").select("user_id", "event_id", "verdict")
+    """The last entry of each user decides; deleted, old or expired, it is a miss, whatever stood before."""
+    return history.latest(_entries(spark, sf_dir), "user_id", "ts", _NOW, "event_id", version=2).select("user_id", "event_id", "verdict")
+
+
+@query(f"WITH {_STANDING} SELECT sha256('scan:' || CAST(user_id AS VARCHAR)) AS cache_key, event_id, verdict FROM k WHERE age < {_TTL} * 1000000::BIGINT")
+def S10_stored_verdicts(spark, sf_dir):
+    """The same through a store on files: written in two parts, invalidated, compacted between, then looked up."""
+    path = f"{scratch.folder(spark)}/verdicts-{uuid.uuid4().hex}"
+    rows = _entries(spark, sf_dir).withColumn("url", F.col("user_id").cast("string")).withColumn("cache_key", history.cache_key(F.col("url")))
+    written = rows.where("NOT deleted").drop("deleted", "user_id", "url").withColumn("deleted", F.lit(False))
+    verdicts.put(written.where("event_id % 2 = 0 AND ts <= TIMESTAMP '2024-01-15 00:00:00'"), path)
+    verdicts.invalidate(rows.where("deleted AND ts <= TIMESTAMP '2024-01-15 00:00:00'"), path, "ts", "event_id")
+    verdicts.compact(spark, path, "ts", "event_id", "2024-01-15 00:00:00")
+    verdicts.put(written.where("event_id % 2 = 1 OR ts > TIMESTAMP '2024-01-15 00:00:00'"), path)  # half of the old ones come late
+    verdicts.invalidate(rows.where("deleted AND ts > TIMESTAMP '2024-01-15 00:00:00'"), path, "ts", "event_id")
+    return verdicts.look_up(spark, path, "ts", "event_id", _NOW, 2).select("cache_key", "event_id", "verdict")
+
+
+#: Each observation meets the entry that was written last; one after the other.
+_FOLD = """r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM h)"""
 
 
-@query(f"""WITH {_HISTORY}, l AS (SELECT *, lag(verdict) OVER w AS b, lag(html_hash) OVER w AS bh, epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER w)) AS age FROM h WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT event_id, CASE WHEN b IS NULL OR age >= CASE WHEN b = 'MALICIOUS' THEN 259200 ELSE 86400 END THEN 'scan' WHEN b = 'SAFE' AND bh IS NULL THEN 'rescan' WHEN b = 'SAFE' OR (b = 'MALICIOUS' AND bh IS NOT NULL AND age > 86400) THEN CASE WHEN bh = html_hash THEN 'recheck_serve' ELSE 'invalidate_rescan' END ELSE 'serve' END AS action FROM l""")
+@query(f"""WITH RECURSIVE {_HISTORY}, {_FOLD}, f AS (SELECT event_id, user_id, n, 'scan' AS action, verdict AS v, html_hash AS held, ts AS t FROM r WHERE n = 1 UNION ALL
+SELECT event_id, user_id, n, action, CASE WHEN w THEN verdict ELSE v END, CASE WHEN w THEN html_hash ELSE held END, CASE WHEN w THEN ts ELSE t END FROM (SELECT *, action IN ('scan', 'rescan', 'invalidate_rescan') AS w FROM (SELECT r.*, f.v, f.held, f.t,
+CASE WHEN epoch_us(r.ts) - epoch_us(f.t) >= 1000000::BIGINT * CASE WHEN f.v = 'MALICIOUS' THEN 259200 ELSE 86400 END THEN 'scan' WHEN f.v = 'SAFE' AND f.held IS NULL THEN 'rescan'
+WHEN f.v = 'SAFE' OR (f.v = 'MALICIOUS' AND f.held IS NOT NULL AND epoch_us(r.ts) - epoch_us(f.t) > 86400000000) THEN CASE WHEN f.held = r.html_hash THEN 'recheck_serve' ELSE 'invalidate_rescan' END ELSE 'serve' END AS action FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)))
+SELECT event_id, action FROM f""")
 def C5_revalidation(spark, sf_dir):
     return history.revalidation(_history(spark, sf_dir), "user_id", "ts", "event_id").select("event_id", "action")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import layout, urls
 from riskloom.operators import cascade, dashboard, history, lexicon, modelling, profile
-from riskloom.plans.queries import _CASES, _HISTORY, _HOST, _OWN, _cases, _history, _load, query
+from riskloom.plans.queries import _CASES, _FOLD, _HISTORY, _HOST, _OWN, _cases, _history, _load, query
 
 
 def _pick(key: str, cases: tuple, k: int) -> str:
@@ -202,6 +202,7 @@ def C10_window_stats(spark, sf_dir):
     return history.window_stats(_history(spark, sf_dir), "ts", "verdict", "value", "1 hour")
 
 
-@query(f"WITH {_HISTORY}, l AS (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM h) SELECT event_id, b IS NULL OR epoch(date_trunc('second', ts)) - epoch(date_trunc('second', b)) >= 86400 AS lookup FROM l")
+@query(f"""WITH RECURSIVE {_HISTORY}, {_FOLD}, f AS (SELECT event_id, user_id, n, true AS lookup, ts AS t FROM r WHERE n = 1 UNION ALL
+SELECT event_id, user_id, n, lookup, CASE WHEN lookup THEN ts ELSE t END FROM (SELECT r.event_id, r.user_id, r.n, r.ts, f.t, epoch_us(r.ts) - epoch_us(f.t) > 86400000000 AS lookup FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)) SELECT event_id, lookup FROM f""")
 def C8_lookup_due(spark, sf_dir):
     return history.lookup_due(_history(spark, sf_dir), "user_id", "ts", "event_id").select("event_id", "lookup")

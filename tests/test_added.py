@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from riskloom import config
 from riskloom.functions import markup, urls
-from riskloom.operators import history, modelling, profile, registration, vectors
+from riskloom.operators import modelling, profile, registration, vectors
 
 
 def test_quantiles_of_skewed_values(spark):
@@ -62,16 +62,6 @@ def test_nearest_vectors_in_blocks(spark, monkeypatch):
     assert {x.similarity for x in got if x.i >= 40} == {0.0} and len(got) == 3 * len(rows)
 
 
-def test_store_of_entries(spark, tmp_path):
-    rows = spark.createDataFrame([("https://a.test", "SAFE", "2024-01-01 00:00:00", 1), ("https://a.test", "MALICIOUS", "2024-01-02 00:00:00", 2), ("https://b.test", "SAFE", "2024-01-01 00:00:00", 3)], "url string, verdict string, at string, n int").withColumn("ts", F.col("at").cast("timestamp")).drop("at")
-    history.put(history.stamped(rows, "url", "ts", 7), str(tmp_path / "s"), "ts", "n")
-    history.put(history.stamped(rows.limit(1), "url", "ts", 6), str(tmp_path / "s"), "ts", "n")
-    kept = spark.read.parquet(str(tmp_path / "s"))
-    assert history.of_version(kept, 7).count() == 3 and history.of_version(kept, 8).count() == 0
-    assert [(x.url, x.n) for x in history.compact(kept, "ts", "n", "2024-01-03 00:00:00").collect()] == [("https://a.test", 2)]
-    assert (kept.where("n = 2").first().expires - kept.where("n = 2").first().ts).total_seconds() == config.TTL_SECONDS["MALICIOUS"]
-
-
 def test_smaller_operators(spark):
     rows = spark.createDataFrame([("com",), ("zz",)], "tld string")
     assert {x.tld: x.risk for x in urls.with_suffix_risk(rows, "tld", spark.createDataFrame([("com", 0.1), ("tk", 1.0)], "tld string, risk double")).collect()} == {"com": 0.1, "zz": 1.0}
