@@ -22,7 +22,7 @@ from riskloom.functions import phonetic, urls
 
 #: Brand to (domains, aliases, ...).
 Catalogue = dict[str, tuple]
-CATALOGUE: Catalogue = brand_catalogue.read(brand_catalogue.FIXED)
+CATALOGUE: Catalogue = brand_catalogue.BRANDS
 _WORD = "[A-Za-z0-9_]"
 
 
