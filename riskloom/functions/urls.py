@@ -100,15 +100,16 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
 
 
-def structure(url: Column, host_: Column, words: tuple[str, ...] = config.SENSITIVE_WORDS) -> dict[str, Column]:
-    """Counts, ratios and flags of F1-F7; ``words`` are those of the online or of the offline variant of F5."""
+def structure(url: Column, host_: Column, words: tuple[str, ...] = config.SENSITIVE_WORDS, own: Column | None = None) -> dict[str, Column]:
+    """Counts, ratios and flags of F1-F7; ``words`` are those of the online or of the offline variant of F5, ``own`` the registered domain where rules gave it."""
+    own = registered(host_) if own is None else own
     n, lower = F.length(url), F.lower(url)
     count = lambda p: F.regexp_count(url, F.lit(p)).cast("long")
     return {
         "url_length": n.cast("long"), "entropy": F.round(entropy(url), 4), "digit_ratio": F.round(ratio(count("[0-9]"), n), 4), "letter_ratio": F.round(ratio(count("[A-Za-z]"), n), 4),
         "n_dots": count(r"\."), "n_slashes": count("/"), "n_hyphens": count("-"), "n_equals": count("="), "n_question": count(r"\?"), "n_amp": count("&"), "n_percent": count("%"),
         "n_double_slash": F.greatest(F.lit(0), count("//") - 1), "sensitive_words": hits(lower, words).cast("long"), "has_at": url.contains("@"),
-        "prefix_suffix_hyphen": registered(host_).contains("-") & (hits(registered(host_), config.OBFUSCATION_BRANDS) > 0),
+        "prefix_suffix_hyphen": own.contains("-") & (hits(own, config.OBFUSCATION_BRANDS) > 0),
     }
 
 
@@ -158,11 +159,11 @@ def origin(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
 
 
-def parsed(url: Column) -> dict[str, Column]:
-    """The parts of an address; ``registered`` is the last two labels, three for known pairs; nulls stay null."""
+def parsed(url: Column, own: Column | None = None) -> dict[str, Column]:
+    """The parts of an address; ``registered`` is ``own`` where rules gave it, else the last two labels, three for known pairs; nulls stay null."""
     u = normalised(url)
     h = host(u)
-    own, p = registered(h), path(u)
+    own, p = registered(h) if own is None else own, path(u)
     return {
         "scheme": F.lower(F.regexp_extract(u, "^([A-Za-z]+):", 1)), "host": h, "path": F.when(p == "", "/").otherwise(p), "query": F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "registered": own,
         "subdomain": F.when(h == own, "").otherwise(F.substring(h, F.lit(1), F.length(h) - F.length(own) - 1)), "is_ip": is_ip(h), "is_localhost": h.isin("localhost", "127.0.0.1"),

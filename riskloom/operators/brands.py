@@ -114,13 +114,20 @@ def page_mismatch(host: Column, named: Column, cat: Catalogue = CATALOGUE) -> Co
     return F.when(brand.isNull() | canonical(host, brand, cat), 0.0).when(spoofed(host, brand, cat), 0.95).when(host.contains(brand), 0.85).otherwise(by_number)
 
 
-def anchors_off(anchors: Column, page_host: Column, cat: Catalogue = CATALOGUE) -> Column:
+def anchor_hosts(anchors: Column, page_host: Column) -> Column:
+    """Where each anchor leads; an address without a host to the page's own."""
+    return F.transform(anchors, lambda a: F.when(a["href"].startswith("http"), urls.host(a["href"])).otherwise(page_host))
+
+
+def anchors_off(anchors: Column, page_host: Column, cat: Catalogue = CATALOGUE, domains: Column | None = None) -> Column:
     """Anchors (href, text) that name a brand but lead elsewhere, once a brand and domain, as (brand, domain, severity, href, text,
-    expected) by falling severity, then in order; empty for null."""
+    expected) by falling severity, then in order; empty for null.  ``domains``: the anchors' registered domains where rules gave them."""
     owners = _owners(cat)
     first = _constant({b: ds[0] for b, (ds, *_) in cat.items() if ds}, "map<string,string>")
-    known = F.filter(anchors, lambda a: (F.coalesce(a["href"], F.lit("")) != "") & (F.coalesce(a["text"], F.lit("")) != ""))
-    named = F.transform(known, lambda a: F.struct(primary(a["text"], cat).alias("brand"), urls.registered(F.when(a["href"].startswith("http"), urls.host(a["href"])).otherwise(page_host)).alias("domain"), a["href"].alias("href"), a["text"].alias("text")))
+    domains = F.transform(anchor_hosts(anchors, page_host), urls.registered) if domains is None else domains
+    led = F.zip_with(anchors, domains, lambda a, d: F.struct(a["href"].alias("href"), a["text"].alias("text"), d.alias("domain")))
+    known = F.filter(led, lambda a: (F.coalesce(a["href"], F.lit("")) != "") & (F.coalesce(a["text"], F.lit("")) != ""))
+    named = F.transform(known, lambda a: F.struct(primary(a["text"], cat).alias("brand"), a["domain"].alias("domain"), a["href"].alias("href"), a["text"].alias("text")))
     off = F.filter(named, lambda m: m["brand"].isNotNull() & (m["domain"] != "") & ~canonical(m["domain"], m["brand"], cat))
     key = lambda m: F.concat_ws("::", m["brand"], m["domain"])
     first_of = lambda ms, keys: F.filter(ms, lambda m, i: F.array_position(keys, key(m)) == i + 1)
@@ -258,7 +265,7 @@ class Domains:
         return brand, sim, min(((sim - 0.7) / 0.3) ** 1.5, 1.0) if off and sim > 0.7 else 0.0, own, distance
 
 
-def nearest(host: Column, cat: Catalogue = CATALOGUE) -> Column:
+def nearest(host: Column, cat: Catalogue = CATALOGUE, own: Column | None = None) -> Column:
     """(brand, similarity, score, domain, distance) of the nearest domain, the first by the catalogue's order on ties.
 
     Null and empty hosts have no brand and score 0; a host on a domain of the brand scores 0.  Each distinct domain of a batch is
@@ -271,7 +278,7 @@ def nearest(host: Column, cat: Catalogue = CATALOGUE) -> Column:
         found = {d: domains.nearest(d) for d in domain.dropna().unique()}
         return pd.DataFrame([found.get(d, (None, 0.0, 0.0, None, -1)) for d in domain], columns=["brand", "similarity", "score", "domain", "distance"])
 
-    return near(urls.registered(F.lower(host)))
+    return near(urls.registered(F.lower(host)) if own is None else own)
 
 
 def sound_alike(host: Column, brand: Column, cat: Catalogue = CATALOGUE) -> dict[str, Column]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import layout, markup, urls
-from riskloom.operators import brands, cascade, lexicon, scoring
+from riskloom.operators import brands, cascade, lexicon, scoring, suffix_rules
 
 #: Columns that models and other systems may have added, with their types; absent ones are null.
 OPTIONAL = {"anger": "double", "joy": "double", "sadness": "double", "ocr_text": "string", "similarity": "double", "expected_domain": "string", "cached_verdict": "string", "repo_new": "boolean", "repo_few_commits": "boolean", "repo_password": "boolean"}
@@ -28,16 +28,17 @@ def _forms(forms: Column) -> Column:
 _MADE: dict[tuple, tuple] = {}
 
 
-def _expressions(cat: brands.Catalogue) -> dict:
+def _expressions(cat: brands.Catalogue, ruled: bool) -> dict:
     """All expressions of a scan, over its own names of columns; made once a session and catalogue."""
     context = SparkContext._active_spark_context
-    if (held := _MADE.get((id(context), id(cat)))) is None or held[0] is not context or held[1] is not cat:
+    if (held := _MADE.get((id(context), id(cat), ruled))) is None or held[0] is not context or held[1] is not cat:
         _MADE.clear()
-        held = _MADE[id(context), id(cat)] = (context, cat, _made(cat))
+        held = _MADE[id(context), id(cat), ruled] = (context, cat, _made(cat, ruled))
     return held[2]
 
 
-def _made(cat: brands.Catalogue) -> dict:
+def _made(cat: brands.Catalogue, ruled: bool) -> dict:
+    own, led = (F.col("u.registered"), F.slice("domains", 2, F.greatest(F.size("domains") - 1, F.lit(0)))) if ruled else (None, None)
     host, page, m, url, html = F.col("u.host"), F.col("p"), F.col("m"), F.col("url"), F.col("html")
     struct = lambda columns: F.struct(*[c.alias(n) for n, c in columns.items()])
     squat, sound = brands.combosquat(host, F.col("brand"), cat), brands.sound_alike(host, F.col("brand"), cat)
@@ -60,7 +61,7 @@ def _made(cat: brands.Catalogue) -> dict:
     breakdown = F.struct("signals", "parts", "flags", "brand", F.col("near.brand").alias("nearest_brand"), "phonetic_brand", "combosquat_pattern", "handler_empty", "handler_blank", "partial_match")
     return {
         "read": {"u": struct(urls.parsed(url)), "p": markup.page(html)},
-        "said": {"said": F.when(html.isNotNull(), F.concat_ws(" ", "p.title", "p.visible_text", F.array_join("p.image_alts", " "), "p.meta_description")), "near": brands.nearest(host, cat), "flags": urls.obfuscation_flags(url, host), "off": brands.anchors_off(page["anchors"], host, cat)},
+        "said": {"said": F.when(html.isNotNull(), F.concat_ws(" ", "p.title", "p.visible_text", F.array_join("p.image_alts", " "), "p.meta_description")), "near": brands.nearest(host, cat, own), "flags": urls.obfuscation_flags(url, host), "off": brands.anchors_off(page["anchors"], host, cat, led)},
         "named": {"named": brands.mentions(F.col("said"), cat)}, "brand": {"brand": brands.page_brand(F.col("named"))},
         "ready": [*map(F.col, ready), F.struct(*[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in signals.items()]).alias("signals"), forms.alias("forms"), *[c.alias(n) for n, c in (squat | sound | layout.handlers(page["forms"])).items()]],
         "scored": {"l2": scoring.weighted({n: F.col("signals")[n] for n in signals}), "parts": F.struct(*[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in parts.items()])}, "domain": F.col("u.registered"), "no": F.lit(False),
@@ -68,18 +69,23 @@ def _made(cat: brands.Catalogue) -> dict:
     }
 
 
-def scan(pages: DataFrame, allowed: DataFrame | None = None, keep: tuple[str, ...] = (), cat: brands.Catalogue = brands.CATALOGUE) -> DataFrame:
+def scan(pages: DataFrame, allowed: DataFrame | None = None, keep: tuple[str, ...] = (), cat: brands.Catalogue = brands.CATALOGUE, rules: suffix_rules.Rules | None = None) -> DataFrame:
     """``url`` and ``html`` (null: the page couldn't be read), and any of OPTIONAL, to the columns of ``keep``, then url, verdict, score, confidence,
     level_caught, safety, l2_score and a breakdown.
 
     Without any model's column, addresses that the rules leave open fall back to the rules' score.  Null addresses get the verdict
-    of an address without parts; repeated rows give repeated results; other columns are dropped.
+    of an address without parts; repeated rows give repeated results; other columns are dropped.  With ``rules``, registered domains are
+    those of the suffix rules.
     """
-    x = _expressions(cat)
+    x = _expressions(cat, rules is not None)
     optional = ", ".join(f"CAST({n if n in pages.columns else 'NULL'} AS {t}) AS {n}" for n, t in OPTIONAL.items())
     rows = pages.select(F.struct(*[F.col(c) for c in keep], F.lit(0).alias("__")).alias("k"), F.expr("coalesce(url, '') AS url"), "html", F.expr(f"struct({optional}) AS m"))
     for step in ("read", "said", "named", "brand"):
         rows = rows.withColumns(x[step])
+        if step == "read" and rules is not None:
+            anchors = F.coalesce(brands.anchor_hosts(F.col("p")["anchors"], F.col("u.host")), F.array().cast("array<string>"))
+            rows = rows.withColumn("domains", rules.column(F.concat(F.array("u.host"), anchors)))
+            rows = rows.withColumn("u", F.struct(*[c.alias(n) for n, c in urls.parsed(F.col("url"), F.get("domains", F.lit(0))).items()]))
     ready = rows.select(*x["ready"]).withColumns(x["scored"])
     if allowed is not None:
         ready = cascade.gate(ready.withColumn("domain", x["domain"]), allowed)

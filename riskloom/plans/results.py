@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.functions import layout, urls
-from riskloom.operators import cascade, dashboard, history, lexicon, modelling, profile
+from riskloom.operators import cascade, dashboard, history, lexicon, modelling, profile, suffix_rules
 from riskloom.plans.queries import _CASES, _FOLD, _HISTORY, _HOST, _OWN, _cases, _history, _load, query
 
 
@@ -28,6 +28,23 @@ def F9_parameters(spark, sf_dir):
     return read.select("page_id", *[F.try_element_at("p", F.lit(k)).alias(k) for k in "abc"], F.size("p").cast("long").alias("n"))
 
 
+#: Hosts of the pages and of the cases, with some under wildcards and exceptions; a table of rules.
+_HOSTS_OF = """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'a.b.shop.co.uk' WHEN 1 THEN 'x' || CAST(page_id % 50 AS VARCHAR(9)) || '.city.kobe.example' WHEN 2 THEN 'www.y' || CAST(page_id % 50 AS VARCHAR(9)) || '.kobe.example' WHEN 3 THEN 'kobe.example' WHEN 4 THEN '192.0.2.' || CAST(page_id % 250 AS VARCHAR(9)) END AS made, url FROM {pages}"""
+_RULES = "SELECT * FROM (VALUES ('com'), ('org'), ('net'), ('uk'), ('co.uk'), ('example'), ('*.kobe.example'), ('!city.kobe.example'), ('test'), ('shop.co.uk.'), ('com')) AS t(rule)"
+
+
+@query(f"""WITH h AS (SELECT page_id, coalesce(made, {_HOST}) AS host FROM ({_HOSTS_OF.format(pages="pages")})), r AS (SELECT DISTINCT rtrim(rule, '.') AS rule FROM ({_RULES})),
+x AS (SELECT page_id, host, k, len(l) - k AS n, array_to_string(l[k + 1:], '.') AS s, array_to_string(l[k + 2:], '.') AS tail FROM (SELECT page_id, host, string_split(host, '.') AS l, unnest(range(len(string_split(host, '.')))) AS k FROM h)),
+f AS (SELECT page_id, max(CASE WHEN starts_with(rule, '!') THEN n - 1 END) AS e, max(CASE WHEN NOT starts_with(rule, '!') THEN n END) AS m FROM x JOIN r ON rule = s OR rule = '!' || s OR (tail <> '' AND rule = '*.' || tail) GROUP BY page_id),
+b AS (SELECT page_id, host, string_split(host, '.') AS l, coalesce(e, m, 1) AS n, regexp_matches(host, '^([0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}$') AS ip FROM h LEFT JOIN f USING (page_id))
+SELECT page_id, host, CASE WHEN NOT ip THEN array_to_string(l[-n:], '.') END AS suffix, CASE WHEN ip OR len(l) <= n + 1 THEN host ELSE array_to_string(l[-n - 1:], '.') END AS registered FROM b""")
+def P1_public_suffix(spark, sf_dir):
+    """P1 with rules, wildcards and exceptions from a table."""
+    rows = spark.sql(_HOSTS_OF, pages=_load(spark, sf_dir, "pages").select("page_id", "url"))
+    hosts = rows.select("page_id", F.coalesce("made", urls.host(F.col("url"))).alias("host"))
+    return suffix_rules.with_registered(hosts, "host", spark.sql(_RULES))
+
+
 #: The features of F33 as both engines read them.
 FEATURES = """SELECT page_id, CASE WHEN page_id % 3 > 0 THEN 4.0 + page_id % 10 / 10.0 END AS url_entropy, page_id % 5 / 10.0 AS url_digit_ratio, page_id % 4 AS url_num_hyphens, page_id % 7 = 0 AS url_has_at_symbol, page_id % 2 = 0 AS html_has_favicon, page_id % 6 AS html_num_hidden_inputs,
 CASE page_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS brand_domain_match, CASE WHEN page_id % 4 > 0 THEN page_id % 60 END AS domain_age_days, CASE page_id % 3 WHEN 0 THEN 'budget' WHEN 1 THEN 'major' END AS registrar_category FROM {pages}"""
