@@ -1,4 +1,4 @@
-"""Scores from word lists: fear and urgency of a text, and the text read from an image.  Native expressions."""
+"""Scores from word lists: fear and urgency of a text, and the text read from an image.  Native expressions, but for the shares of lexicons."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskloom import config
+from riskloom.functions.automaton import Automaton
 from riskloom.functions.urls import hits, pattern_hits
 
 
@@ -29,14 +30,24 @@ def image_text(text: Column) -> dict[str, Column]:
     return {"credential_hits": credentials.cast("long"), "brand_hits": brands.cast("long"), "urgency_hits": urgency.cast("long"), "ocr_score": F.round(F.least(F.lit(1.0), score), 4)}
 
 
+def _share(count: Column, size: int) -> Column:
+    return F.when(count.isNotNull(), F.round(F.least(F.lit(1.0), count / max(0.15 * size, 1.0)), 3))
+
+
 def share_of_lexicon(text: Column, words) -> Column:
     """hits over 15 % of the lexicon's size (1 at least), 1 at most, three decimals; null for a null text."""
-    return F.when(text.isNotNull(), F.round(F.least(F.lit(1.0), hits(F.lower(text), words) / max(0.15 * len(words), 1.0)), 3))
+    return shares(text, {"words": words})["words_score"]
+
+
+def shares(text: Column, lexicons: dict, automaton: Automaton | None = None) -> dict[str, Column]:
+    """F21 of any lexicons: name to words (with an automaton of theirs: to their number); one pass over the text, however many words they have."""
+    found = (automaton or Automaton(lexicons)).counts(F.lower(text))
+    return {f"{n}_score": _share(found[n], words if automaton else len(words)) for n, words in lexicons.items()}
 
 
 def lexicon_shares(text: Column) -> dict[str, Column]:
     """the share of each of the six lexicons."""
-    return {f"{name}_score": share_of_lexicon(text, words) for name, words in config.LEXICONS.items()}
+    return shares(text, config.LEXICONS)
 
 
 def brands_in_text(text: Column, brands: tuple[str, ...] = config.TEXT_BRANDS) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom import config
-from riskloom.functions import urls
+from riskloom.functions import automaton, urls
 from riskloom.operators import lexicon, scan, scoring
 from riskloom.plans import detectors  # noqa: F401
 from riskloom.plans.queries import _CASES, ORACLE_SQL, TEXT_CASES, _load, query
@@ -55,6 +55,21 @@ def F21_documents(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", *[c.alias(k) for k, c in lexicon.lexicon_shares(F.col("t")).items()])
 
 
+_WORDS = "SELECT DISTINCT 'third_' || CAST(item_id % 3 AS VARCHAR) AS list, word FROM (SELECT item_id, lower(unnest(string_split_regex(text, '\\s+'))) AS word FROM benchmark) WHERE length(word) >= 5"
+
+
+@query(f"""WITH w AS ({_WORDS}), n AS (SELECT list, count(*) AS n FROM w GROUP BY list), f AS (SELECT doc_id, list, count(*) AS k FROM documents JOIN w ON contains(lower(text), word) GROUP BY ALL),
+s AS (SELECT doc_id, list, round(least(1.0, coalesce(k, 0)::DOUBLE / greatest(0.15 * n, 1)), 3) AS s FROM (SELECT doc_id, list, n FROM documents, n WHERE text IS NOT NULL) LEFT JOIN f USING (doc_id, list))
+SELECT doc_id, max(s) FILTER (list = 'third_0') AS third_0_score, max(s) FILTER (list = 'third_1') AS third_1_score, max(s) FILTER (list = 'third_2') AS third_2_score FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id""")
+def F21_word_table(spark, sf_dir):
+    """F21 with lexicons from a table: the words of each third of the benchmark's items."""
+    items = _load(spark, sf_dir, "benchmark").select(F.concat(F.lit("third_"), (F.col("item_id") % 3).cast("string")).alias("list"), F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
+    words = items.where(F.length("word") >= 5).distinct()
+    sizes = {r["list"]: r["n"] for r in words.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = lexicon.shares(F.col("t"), {f"third_{k}": sizes.get(f"third_{k}", 0) for k in range(3)}, automaton.of_table(words, "list", "word"))
+    return _documents(spark, sf_dir).select("doc_id", *[c.alias(k) for k, c in found.items()])
+
+
 @query("SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN contains(' ' || lower(text) || ' ', ' {b} ') THEN '{b}' END" for b in config.TEXT_BRANDS) + ") AS brands, length(coalesce(text, ''))::BIGINT AS length FROM documents")
 def F20_documents(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.array_join(lexicon.brands_in_text(F.col("t")), ",").alias("brands"), lexicon.text_shape(F.col("t"))["length"].alias("length"))
@@ -84,5 +99,5 @@ def Y1_scan(spark, sf_dir):
     return scan.scan(_load(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=("page_id",)).drop("breakdown")
 
 
-#: SQL can't express the parser and the measures of likeness; tests/test_scan.py holds it against a plain version.
+#: SQL can't express the parser and the measures of likeness; golden cases in tests/test_brands.py hold it.
 WITHOUT_SQL = {f.__name__: f for f in (Y1_scan,)}
