@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import store, text
 from .quality import held_out
 
-MAX_ROWS, MAX_BYTES, LEAST_ROWS, THRESHOLD = 8000, 8 << 20, 3, 0.5
+MAX_ROWS, MAX_BYTES, LEAST_ROWS, THRESHOLD = 12000, 16 << 20, 3, 0.5
 BITS, GRAMS, DIM, STEPS, RATE, DECAY, SEED = 18, (3, 4, 5), 8, 300, 0.1, 1e-6, 11
 _OPEN, _CLOSE = 0x110000, 0x110001  # beyond all characters
 
@@ -120,12 +120,14 @@ def bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Bag:
     """Trained embeddings of the buckets and the softmax over their mean; ``margin`` is what each bucket adds to the log odds."""
 
-    embeddings: np.ndarray  # (buckets, DIM); zeros where a subword has none
+    buckets: np.ndarray  # those with a vector; the others count as zeros
+    embeddings: np.ndarray  # (buckets, DIM)
     softmax: np.ndarray  # (DIM, 2)
     bias: np.ndarray  # (2,)
 
     def __post_init__(self):
-        self.margin = (self.embeddings @ (self.softmax[:, 1] - self.softmax[:, 0])).astype(np.float32)
+        self.margin = np.zeros(1 << BITS, np.float32)
+        self.margin[self.buckets] = self.embeddings @ (self.softmax[:, 1] - self.softmax[:, 0])
         self.offset = float(self.bias[1] - self.bias[0])
 
     def score(self, column: pa.Array) -> np.ndarray:
@@ -160,11 +162,9 @@ def loss_and_gradient(e: np.ndarray, w: np.ndarray, bias: np.ndarray, at: np.nda
     return float(loss), ge, mean.T @ p, p.sum(0)
 
 
-def telling(bucket: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Buckets that tell the labels apart beyond chance: the likelihood ratio of each one's two-by-two table against the log of how many are tried."""
-    total, ones = float(len(y)), float(y.sum())
-    n = np.bincount(bucket, minlength=1 << BITS).astype(float)
-    k = np.bincount(bucket, y[rows], 1 << BITS)
+def telling(n: np.ndarray, k: np.ndarray, total: float, ones: float) -> np.ndarray:
+    """Buckets that tell the labels apart beyond chance, of n[b] rows with bucket b, k[b] of which are ones: the likelihood ratio of each
+    one's two-by-two table against the log of how many are tried."""
     tried = n >= LEAST_ROWS
 
     def part(seen, expected):
@@ -175,60 +175,86 @@ def telling(bucket: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.flatnonzero(tried & (ratio > np.log(max(tried.sum(), 2))))
 
 
-def fit(bucket: np.ndarray, count: np.ndarray, off: np.ndarray, y: np.ndarray, steps: int = STEPS) -> Bag:
-    """Embeddings and softmax by Adam over the log loss of all rows."""
+def fit(known: np.ndarray, at: np.ndarray, share: np.ndarray, off: np.ndarray, y: np.ndarray, steps: int = STEPS) -> Bag:
+    """Embeddings of the buckets ``known`` and softmax, by Adam over the log loss of all rows (given as in loss_and_gradient)."""
     r = np.random.Generator(np.random.PCG64(SEED))
-    rows = np.repeat(np.arange(len(y)), np.diff(off))
-    known = telling(bucket, rows, y)
-    place = np.full(1 << BITS, -1, np.int64)
-    place[known] = np.arange(len(known))
-    total = np.maximum(np.bincount(rows, count, len(y)), 1)
-    mine = place[bucket] >= 0
-    at, owner = place[bucket[mine]], rows[mine]
-    share, starts = count[mine] / total[owner], np.searchsorted(owner, np.arange(len(y) + 1))
     theta = [np.zeros((len(known), DIM)), r.normal(0, DIM**-0.5, (DIM, 2)), np.log(np.array([np.mean(y == 0), np.mean(y == 1)]))]
     m, v = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     for step in range(1, steps + 1):
-        _, *grads = loss_and_gradient(*theta, at, share, starts, y)
+        _, *grads = loss_and_gradient(*theta, at, share, off, y)
         for t, g, mm, vv, decay in zip(theta, grads, m, v, (DECAY, DECAY, 0)):
             g = g + decay * t
             mm += 0.1 * (g - mm)
             vv += 0.01 * (g * g - vv)
             t -= RATE * (1 - step / (steps + 1)) * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.99**step)) + 1e-9)
-    full = np.zeros((1 << BITS, DIM))
-    full[known] = theta[0]
-    return Bag(full, theta[1], theta[2])
+    return Bag(known, *theta)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Bag | None:
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _sample(rows: DataFrame, marks: DataFrame) -> list[tuple[int, int, int]]:
+    """Id, hash and label of at most MAX_ROWS distinct texts of MAX_BYTES altogether, those with the least hashes."""
     usable = ~F.coalesce(held_out(F.col("id")), F.lit(True))
-    marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where(usable & F.col("y").isNotNull()).groupBy("id").agg(F.avg("y").alias("y"))
+    known = marks.where(usable & F.col("y").isNotNull()).groupBy("id").agg(F.avg("y").alias("y"))
     seen = rows.where(usable).select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
-    texts = seen.join(marks, "id").groupBy("hash").agg(F.avg("y").alias("y"), F.min("id").alias("id"), F.max("size").alias("size"))
+    texts = seen.join(known, "id").groupBy("hash").agg(F.avg("y").alias("y"), F.min("id").alias("id"), F.max("size").alias("size"))
     taken, left = [], MAX_BYTES
     for r in texts.orderBy(F.xxhash64("hash"), "hash").limit(MAX_ROWS).collect():
         left -= r["size"]
         if left < 0 and taken:
             break
         taken.append((r["id"], r["hash"], int(r["y"] >= 0.5)))
-    if len({y for _, _, y in taken}) < 2:
+    return taken
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Bag | None:
+    """The model; None without labels of both kinds.  The driver gets counts of buckets and, of each row, its telling ones only."""
+    store.lean(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    taken = _sample(rows, labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")))
+    total, ones = len(taken), sum(y for _, _, y in taken)
+    if not 0 < ones < total:
         return None
     wanted = docs.sparkSession.createDataFrame(taken, "id long, hash long, y int")  # at most MAX_ROWS rows
 
-    def run(batches):
+    def counted(batches):
         for batch in batches:
             bucket, count, off = bags(batch.column(2))
-            row = lambda x, kind: pa.array([x[i:j].astype(kind).tobytes() for i, j in zip(off[:-1], off[1:])], pa.binary())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), row(bucket, np.uint32), row(count, np.uint32)], names=["hash", "y", "bucket", "count"])
+            row = lambda x: pa.array([x[i:j].astype(np.uint32).tobytes() for i, j in zip(off[:-1], off[1:])], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), row(bucket), row(count)], names=["hash", "y", "bucket", "count"])
 
-    store.lean(docs.sparkSession)
     hashed = rows.withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    got = hashed.join(F.broadcast(wanted), ["id", "hash"]).select("hash", "y", "text").mapInArrow(run, "hash long, y int, bucket binary, count binary").toPandas()
-    got = got.drop_duplicates("hash").sort_values("hash")
-    bucket, count = (np.frombuffer(b"".join(got[c]), np.uint32).astype(np.int64) for c in ("bucket", "count"))
-    off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got.bucket])]).astype(np.int64)
-    return fit(bucket, count, off, got.y.to_numpy().astype(np.int64))
+    sample = hashed.join(F.broadcast(wanted), ["id", "hash"]).dropDuplicates(["hash"]).select("hash", "y", "text")  # rows of one id and text count once
+    bagged = store.put(sample.mapInArrow(counted, "hash long, y int, bucket binary, count binary"), "bags")
+
+    def presence(batches):
+        n, k = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            for y, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                at = np.frombuffer(x.as_buffer(), np.uint32)
+                n[at] += 1
+                k[at] += y
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(k[some])], names=["bucket", "n", "k"])
+
+    seen = bagged.select("y", "bucket").mapInArrow(presence, "bucket long, n long, k long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).toArrow()  # at most 2**BITS rows
+    n, k = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    where = seen.column("bucket").to_numpy()
+    n[where], k[where] = seen.column("n").to_numpy(), seen.column("k").to_numpy()
+    known = telling(n, k, total, ones)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[known] = np.arange(len(known))
+
+    def shares(batches):
+        for batch in batches:
+            out = []
+            for x, c in zip(batch.column(2), batch.column(3)):
+                at, count = place[np.frombuffer(x.as_buffer(), np.uint32)], np.frombuffer(c.as_buffer(), np.uint32)
+                out.append((at[at >= 0].tobytes(), (count[at >= 0] / max(count.sum(), 1)).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([o[i] for o in out], pa.binary()) for i in (0, 1))], names=["hash", "y", "at", "share"])
+
+    got = bagged.mapInArrow(shares, "hash long, y int, at binary, share binary").toPandas().sort_values("hash")
+    store.drop(bagged)
+    off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got["at"]])]).astype(np.int64)
+    return fit(known, np.frombuffer(b"".join(got["at"]), np.int32).astype(np.int64), np.frombuffer(b"".join(got["share"]), np.float64), off, got.y.to_numpy().astype(np.int64))
 
 
 def score_toxicity(docs: DataFrame, bag: Bag | None, text_col: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
