@@ -4,8 +4,8 @@ A sketch keeps *every* shingle hash below a fixed fraction of the hash range, so
 samples of one and the same random subset of all shingles: the sketch of a union is the union of the sketches, and
 containment can be estimated between documents of very unequal length, which bottom-k sketches don't allow.
 
-One shingle in 16 says little of a short text, so a text under ``SHORT`` bytes carries a second sketch of the same kind: shingles of
-``FINE`` bytes, all of them kept.  Two texts that both have one are compared by it, all others by the first.
+One rule holds for texts of all sizes: shingles of 8 bytes, one in four kept.  Of a text of 30 bytes inside another one no shingle is kept in
+one case of a thousand; where any is, the containment of a whole text in another one comes out as 1, whatever their lengths.
 
 Defined results: a null text counts as empty; an empty text has an empty sketch; a text shorter than a shingle
 is one shingle; equal texts have equal fingerprints and likeness 1; likeness with an empty sketch is otherwise 0.
@@ -28,9 +28,7 @@ from pyspark.sql import types as T
 from . import store, text
 
 #: Bytes of a shingle; the share of all hashes that is kept, as a power of two; bits stored of each kept hash.
-SHINGLE, KEEP_LOG2, BITS = 16, 4, 40
-#: Bytes under which a text has a fine sketch, and bytes of its shingles.
-SHORT, FINE = 256, 6
+SHINGLE, KEEP_LOG2, BITS = 8, 2, 32
 U = np.uint64
 
 
@@ -64,11 +62,6 @@ def sketches(texts: list[str | None], shingle: int = SHINGLE, keep_log2: int = K
     return out
 
 
-def fine_sketches(texts: list[str | None]) -> list[np.ndarray]:
-    """Fine sketches, empty for texts of SHORT bytes and more."""
-    return sketches([t if t and len(t) < SHORT and len(t.encode()) < SHORT else "" for t in texts], FINE, 0)
-
-
 def digest(t: str | None) -> str:
     return hashlib.sha256((t or "").encode()).hexdigest()
 
@@ -85,18 +78,18 @@ def _unpacked(body: str) -> np.ndarray:
     return wide.view(">u8").ravel().astype(np.uint64)
 
 
-def encode(sketch: np.ndarray, sha256: str, fine: np.ndarray | None = None) -> str:
-    """``<16 hex digits of the text's digest>:<base64 of the kept hashes, ascending, big-endian>``, and for short texts ``:<the fine ones>``."""
-    return f"{sha256[:16]}:{_packed(sketch)}" + (f":{_packed(fine)}" if fine is not None and len(fine) else "")
+def encode(sketch: np.ndarray, sha256: str) -> str:
+    """``<16 hex digits of the text's digest>:<base64 of the kept hashes, ascending, big-endian>``."""
+    return f"{sha256[:16]}:{_packed(sketch)}"
 
 
-def decode(fingerprint: str | None) -> tuple[str, np.ndarray, np.ndarray]:
-    head, body, fine = ((fingerprint or "") + "::").split(":")[:3]
-    return head, _unpacked(body), _unpacked(fine)
+def decode(fingerprint: str | None) -> tuple[str, np.ndarray]:
+    head, _, body = (fingerprint or "").partition(":")
+    return head, _unpacked(body)
 
 
 def fingerprints(texts: list[str | None]) -> list[str]:
-    return [encode(s, digest(t), f) for s, f, t in zip(sketches(texts), fine_sketches(texts), texts)]
+    return [encode(s, digest(t)) for s, t in zip(sketches(texts), texts)]
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -109,11 +102,10 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], same: bool = False) -> float:
-    """Estimated containment of the smaller in the larger document, each given by its sketch and its fine sketch."""
-    x, y = (a[1], b[1]) if len(a[1]) and len(b[1]) else (a[0], b[0])
-    least = min(len(x), len(y))
-    return 1.0 if same else common(x, y) / least if least else 0.0
+def likeness(a: np.ndarray, b: np.ndarray, same: bool = False) -> float:
+    """Estimated containment of the smaller in the larger document, each given by its sketch."""
+    least = min(len(a), len(b))
+    return 1.0 if same else common(a, b) / least if least else 0.0
 
 
 @F.pandas_udf(T.StringType())
@@ -125,8 +117,7 @@ def _fingerprint(t):
 def _containment(a, b):
     out = []
     for x, y in zip(a, b):
-        (dx, *sx), (dy, *sy) = decode(x), decode(y)
-        own, other = (sx[1], sy[1]) if len(sx[1]) and len(sy[1]) else (sx[0], sy[0])
+        (dx, own), (dy, other) = decode(x), decode(y)
         out.append(1.0 if dx == dy else common(own, other) / len(own) if len(own) else 0.0)
     return type(a)(out)
 
@@ -135,8 +126,7 @@ def _containment(a, b):
 def _merged(a, b):
     out = []
     for x, y in zip(a, b):
-        (_, sx, fx), (_, sy, fy) = decode(x), decode(y)
-        out.append(encode(np.union1d(sx, sy), digest(f"{x}|{y}"), np.union1d(fx, fy) if len(fx) and len(fy) else None))
+        out.append(encode(np.union1d(decode(x)[1], decode(y)[1]), digest(f"{x}|{y}")))
     return type(a)(out)
 
 
@@ -204,16 +194,16 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(i, j - i)
             slots, foreign, ids, texts = (part.column(c).to_pylist() for c in range(4))
             shas = list(map(digest, texts))
-            rows = [*([held] if held else []), *zip(slots, foreign, ids, texts, zip(sketches(texts), fine_sketches(texts)), shas)]
+            rows = [*([held] if held else []), *zip(slots, foreign, ids, texts, sketches(texts), shas)]
             pairs = [(a, b) for a, b in zip(rows, rows[1:]) if not a[1] and a[0] == b[0]]
             held = rows[-1]
             if not pairs:
                 continue
             changed = [edited(a[3], b[3]) for a, b in pairs]
             out = []
-            for (a, b), t, *s in zip(pairs, changed, sketches(changed), fine_sketches(changed)):
+            for (a, b), t, s in zip(pairs, changed, sketches(changed)):
                 sha = digest(t)
-                out.append((a[2], len(a[3]), sha, encode(a[4][0], a[5], a[4][1]), encode(s[0], sha, s[1]), likeness(a[4], s, a[5] == sha), likeness(a[4], b[4], a[5] == b[5])))
+                out.append((a[2], len(a[3]), sha, encode(a[4], a[5]), encode(s, sha), likeness(a[4], s, a[5] == sha), likeness(a[4], b[4], a[5] == b[5])))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()])], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
