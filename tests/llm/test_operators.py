@@ -90,7 +90,7 @@ def test_fuzzy_passages_are_found(spark):
     got = {(x.id, x.other_id) for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     recall = [sum((2 * k + 1, 2 * k) in got for k in range(c, 6 * n, 6)) / n for c in range(6)]
     print("recall", recall)
-    assert all(a >= b for a, b in zip(recall, (1.0, 0.95, 0.85, 0.65, 1.0, 0.95))), recall
+    assert all(a >= b for a, b in zip(recall, (1.0, 0.97, 0.95, 0.9, 1.0, 0.97))), recall
     assert all(a - b == 1 and b % 2 == 0 for a, b in got)
 
 
@@ -106,6 +106,54 @@ def test_passages_with_split_hubs(spark):
         assert got == {(4, 3, 74, size, 1.0), (5, 3, 75, size, 1.0)}
 
 
+def test_fuzzy_passages_with_split_hubs(spark):
+    """Passages of 80 words whose halves stand in two earlier documents, then once as they are and twice with a share of the words changed."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows, want, n = [], {}, 30
+    for k in range(4 * n):
+        changed, p = (4, 8, 12, 16)[k % 4], [word() for _ in range(80)]
+        copies = [[word() if j in at else w for j, w in enumerate(p)] for at in (set(r.sample(range(80), changed)) for _ in range(2))]
+        for part in (p[:40], p[40:], p, *copies):
+            if part in copies:
+                want.setdefault(changed, []).append(len(rows))
+            rows.append((len(rows), " ".join([*(word() for _ in range(80)), *part, *(word() for _ in range(80))])))
+    held = {}
+    for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        held.setdefault(x.id, set()).update(range(x.start_word, x.end_word))
+    recall = {c: sum(len(held.get(d, set()) & set(range(80, 160))) >= 60 for d in docs) / len(docs) for c, docs in want.items()}
+    print("recall with split hubs", recall)
+    assert all(recall[c] >= least for c, least in ((4, 0.97), (8, 0.95), (12, 0.9), (16, 0.8)))
+
+
+def test_edits_of_any_length(spark):
+    """60 words out and 60 in, a third of the text apart: one passage, whatever the length."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for k, size in enumerate((900, 8000, 9000, 20000)):
+        t = [word() for _ in range(size)]
+        changed = t[: size // 3] + t[size // 3 + 60 : 2 * size // 3] + [word() for _ in range(60)] + t[2 * size // 3 :]
+        rows += [(2 * k, " ".join(t)), (2 * k + 1, " ".join(changed))]
+    got = {x.id: x for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, size in enumerate((900, 8000, 9000, 20000)):
+        assert got[2 * k + 1].n_words >= size - 2 and abs(got[2 * k + 1].identity - (1 - 120 / size)) < 0.01
+    assert len(got) == 4
+
+
+def test_fenwick_chains_against_all_pairs():
+    r = random.Random(10)
+    for _ in range(300):
+        parts = sorted({(x, x + (n := r.randint(5, 30)), y, y + n) for x, y in ((r.randrange(400), r.randrange(400)) for _ in range(r.randint(2, 40)))})
+        score = []
+        for k, (x0, x1, y0, y1) in enumerate(parts):
+            before = [score[j] - passages.GAP_COST * (x0 - q[1] + y0 - q[3]) for j, q in enumerate(parts[:k]) if 0 <= x0 - q[1] <= passages.GAP and 0 <= y0 - q[3] <= passages.GAP]
+            score.append(x1 - x0 + max([0.0, *before]))
+        best = passages.chain(parts)[0]
+        own = sum(p[1] - p[0] for p in best) - passages.GAP_COST * sum(q[0] - p[1] + q[2] - p[3] for p, q in zip(best, best[1:]))
+        assert abs(own - max(score)) < 1e-6 and all(0 <= q[0] - p[1] <= passages.GAP and 0 <= q[2] - p[3] <= passages.GAP for p, q in zip(best, best[1:]))
+
+
 def test_passages(spark, awkward):
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
