@@ -8,4 +8,4 @@ from riskloom.plans.queries import ORACLE_SQL, QUERIES
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 #: Queries that SQL can't express, held against plain versions in the tests.
-WITHOUT_SQL = content.WITHOUT_SQL | brand_queries.WITHOUT_SQL
+WITHOUT_SQL = content.WITHOUT_SQL | brand_queries.WITHOUT_SQL | results.WITHOUT_SQL

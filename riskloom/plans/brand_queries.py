@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from riskloom import config
 from riskloom.functions import urls
-from riskloom.operators import brands
+from riskloom.operators import brands, domain_index
 from riskloom.plans.queries import _RISK, _load, query
 
 CAT = brands.CATALOGUE
@@ -128,4 +128,14 @@ def A9_sounds_alike(spark, sf_dir):
     return rows.select("page_id", "host", "brand", *[c.alias(k) for k, c in brands.sound_alike(F.col("host"), F.col("brand")).items()])
 
 
-WITHOUT_SQL = {f.__name__: f for f in (A7_nearest_domain, A9_sounds_alike)}
+def J7_domain_index(spark, sf_dir):
+    """The same hosts against a catalogue that is a table: the brands' domains and those of all pages; tests hold the index against plain search."""
+    pages = _load(spark, sf_dir, "pages")
+    own = pages.select(urls.registered(urls.host(F.col("url"))).alias("domain")).where("domain <> ''").distinct().select(F.col("domain").alias("brand"), "domain", (F.pmod(F.xxhash64("domain"), F.lit(1 << 40)) + 1000).alias("rank"))
+    known = spark.createDataFrame([(b, d, k) for k, (d, b) in enumerate(DOMAINS)], "brand string, domain string, rank long")
+    rows = pages.selectExpr("page_id", f"{_filled(_MISSPELT, False)} AS host")
+    near = domain_index.nearest_in(rows, "host", known.unionByName(own))
+    return near.withColumn("score", F.round("score", 3))
+
+
+WITHOUT_SQL = {f.__name__: f for f in (A7_nearest_domain, A9_sounds_alike, J7_domain_index)}

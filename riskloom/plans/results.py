@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.functions import layout, urls
-from riskloom.operators import cascade, dashboard, history, lexicon, modelling, profile, suffix_rules
+from riskloom.operators import cascade, dashboard, extra_trees, history, lexicon, modelling, profile, suffix_rules
 from riskloom.plans.queries import _CASES, _FOLD, _HISTORY, _HOST, _OWN, _cases, _history, _load, query
 
 
@@ -36,7 +36,7 @@ _RULES = "SELECT * FROM (VALUES ('com'), ('org'), ('net'), ('uk'), ('co.uk'), ('
 @query(f"""WITH h AS (SELECT page_id, coalesce(made, {_HOST}) AS host FROM ({_HOSTS_OF.format(pages="pages")})), r AS (SELECT DISTINCT rtrim(rule, '.') AS rule FROM ({_RULES})),
 x AS (SELECT page_id, host, k, len(l) - k AS n, array_to_string(l[k + 1:], '.') AS s, array_to_string(l[k + 2:], '.') AS tail FROM (SELECT page_id, host, string_split(host, '.') AS l, unnest(range(len(string_split(host, '.')))) AS k FROM h)),
 f AS (SELECT page_id, max(CASE WHEN starts_with(rule, '!') THEN n - 1 END) AS e, max(CASE WHEN NOT starts_with(rule, '!') THEN n END) AS m FROM x JOIN r ON rule = s OR rule = '!' || s OR (tail <> '' AND rule = '*.' || tail) GROUP BY page_id),
-b AS (SELECT page_id, host, string_split(host, '.') AS l, coalesce(e, m, 1) AS n, regexp_matches(host, '^([0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}$') AS ip FROM h LEFT JOIN f USING (page_id))
+b AS (SELECT page_id, host, string_split(host, '.') AS l, coalesce(e, m, 1) AS n, regexp_matches(host, '^([0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}$') AS ip FROM h LEFT JOIN f USING (page_id))
 SELECT page_id, host, CASE WHEN NOT ip THEN array_to_string(l[-n:], '.') END AS suffix, CASE WHEN ip OR len(l) <= n + 1 THEN host ELSE array_to_string(l[-n - 1:], '.') END AS registered FROM b""")
 def P1_public_suffix(spark, sf_dir):
     """P1 with rules, wildcards and exceptions from a table."""
@@ -223,3 +223,17 @@ def C10_window_stats(spark, sf_dir):
 SELECT event_id, user_id, n, lookup, CASE WHEN lookup THEN ts ELSE t END FROM (SELECT r.event_id, r.user_id, r.n, r.ts, f.t, epoch_us(r.ts) - epoch_us(f.t) > 86400000000 AS lookup FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)) SELECT event_id, lookup FROM f""")
 def C8_lookup_due(spark, sf_dir):
     return history.lookup_due(_history(spark, sf_dir), "user_id", "ts", "event_id").select("event_id", "lookup")
+
+
+def K6_extra_trees(spark, sf_dir):
+    """Extra trees over shapes of the documents' texts, fitted on four of five labelled rows and applied to all of them; tests hold the fit against a plain version."""
+    t = F.coalesce("text", F.lit(""))
+    share = lambda p: F.regexp_count(t, F.lit(p)) / F.greatest(F.length(t), F.lit(1))
+    shapes = [F.log1p(F.length(t)), share("[0-9]"), share("[A-Z]"), share(r"\s"), share(r"[^A-Za-z0-9\s]"), share("\n"), share("[#$%&*|<>{}]")]
+    rows = _load(spark, sf_dir, "documents").select("doc_id", F.array(*[c.cast("double") for c in shapes]).alias("x")).join(_load(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    rows = modelling.folds(rows, "quality", "doc_id").cache()
+    forest = extra_trees.fit(rows.where("fold <> 0"), "x", "quality", len(shapes), tried=4)
+    return rows.select("doc_id", "quality", "fold", F.round(extra_trees.score(forest, F.col("x")), 6).alias("score"))
+
+
+WITHOUT_SQL = {f.__name__: f for f in (K6_extra_trees,)}
