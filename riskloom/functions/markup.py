@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from riskloom.functions import urls
+
 SCHEMA = "anchors array<struct<href:string,text:string>>, forms array<struct<action:string,method:string,inputs:array<struct<type:string,name:string,id:string>>>>, n_password long, n_hidden long, image_alts array<string>, title string, meta_description string, visible_text string, has_favicon boolean"
 _SILENT = {"script", "style", "noscript", "head", "title"}
 
@@ -100,10 +102,16 @@ def scripts(html: Column) -> dict[str, Column]:
 def content_hashes(html: Column) -> dict[str, Column]:
     """Hashes of a page for three uses: as it is, without scripts and with blanks evened out, and of its body alone; null for null."""
     even = lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))
-    bare = F.regexp_replace(html, r"(?i)<script[\s\S]*?</script>", "")
-    inside = F.regexp_extract(bare, r"(?i)<body[\s\S]*?>([\s\S]*)</body>", 1)
-    body = F.when(bare.rlike(r"(?i)<body[\s\S]*?>[\s\S]*</body>"), inside).otherwise(bare)
-    return {"raw_hash": F.sha2(html, 256), "content_hash": F.sha2(even(F.regexp_replace(html, r"(?i)<script[^>]*>[\s\S]*?</script>", "")), 256), "body_hash": F.sha2(even(body), 256)}
+
+    def body(bare: Column) -> Column:
+        """From the first tag of a body to the last end of one, found by position; all of it where either is missing."""
+        at = F.regexp_instr(bare, F.lit("(?i)<body"))
+        opened = F.when(at > 0, F.instr(F.substring(bare, at, F.length(bare)), ">"))
+        rest = F.when(opened > 0, F.substring(bare, at + opened, F.length(bare)))
+        return urls.let(rest, lambda r: F.when(r.rlike("(?i)</body>"), F.regexp_extract(r, "(?is)^(.*)</body>", 1)).otherwise(bare))
+
+    bare = F.regexp_replace(html, "(?is)<script.*?</script>", "")
+    return {"raw_hash": F.sha2(html, 256), "content_hash": F.sha2(even(F.regexp_replace(html, "(?is)<script[^>]*>.*?</script>", "")), 256), "body_hash": F.sha2(urls.let(bare, lambda b: even(body(b))), 256)}
 
 
 def offline_scripts(html: Column) -> dict[str, Column]:

@@ -115,16 +115,23 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]
 
 
 def _lines(rows: DataFrame) -> list[dict]:
-    """One line a block, in order: first and last key, first time, first mark, where the mark first differs from it in the first key's rows, how many those are, last mark."""
+    """One line a block, in order: first and last key, first time, first mark, where the mark first differs from it in the first key's rows, whether those are
+    all, last mark, and the entry open at the end if the last key begins here."""
+    kinds = "block int, first string, last string, t long, mark string, differs long, whole boolean, last_mark string, entry struct<t:long,keep:long,check:long,mark:string,always:boolean>"
 
     def run(batches):
         for number, table in _blocks(batches):
             b = Block(table)
             size = int(b.end[0])
             first = int(b.differs[0])
-            yield pa.RecordBatch.from_pylist([{"block": number, "first": b.keys[0], "last": b.keys[-1], "t": int(b.t[0]), "mark": b.marks[0], "differs": first if first < size else -1, "whole": size == len(b.t), "last_mark": b.marks[-1]}], schema=pa.schema([("block", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("t", pa.int64()), ("mark", pa.string()), ("differs", pa.int64()), ("whole", pa.bool_()), ("last_mark", pa.string())]))
-
-    got = rows.select(*_READ).mapInArrow(run, "block int, first string, last string, t long, mark string, differs long, whole boolean, last_mark string").collect()
+            e = int(b.last_entries(b.ended()[0])[b.start[-1]])
+            entry = {"t": int(b.t[e]), "keep": int(b.keep[e]), "check": int(b.check[e]), "mark": b.marks[e], "always": bool(b.always[e])}
+            line = {"block": number, "first": b.keys[0], "last": b.keys[-1], "t": int(b.t[0]), "mark": b.marks[0], "differs": first if first < size else -1, "whole": size == len(b.t), "last_mark": b.marks[-1], "entry": entry}
+            fields = [("block", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("t", pa.int64()), ("mark", pa.string()), ("differs", pa.int64()), ("whole", pa.bool_()), ("last_mark", pa.string())]
+            inner = pa.struct([("t", pa.int64()), ("keep", pa.int64()), ("check", pa.int64()), ("mark", pa.string()), ("always", pa.bool_())])
+            yield pa.RecordBatch.from_pylist([line], schema=pa.schema([*fields, ("entry", inner)]))
+
+    got = rows.select(*_READ).mapInArrow(run, kinds).collect()
     return [r.asDict() for r in sorted(got, key=lambda r: r["block"])]
 
 
@@ -141,6 +148,7 @@ class Course:
         self.starts: dict[int, tuple[str | None, int]] = {}  # first mark of such a following block, and the first later row of the key with another one
         self.after: dict[int, int] = {}  # the first later row of a block's last key whose mark is another than its last one
         self.runs: list[tuple[np.ndarray, np.ndarray]] = []  # the blocks of each key of several, and their first times
+        self.opened: dict[int, tuple] = {}  # the entry open at the end of the first of them
         self.where: dict[int, tuple[int, int]] = {}  # of blocks whose last key goes on: which run, and the place in it
         by = {x["block"]: x for x in lines}
         for x, y in zip(lines, lines[1:]):
@@ -165,6 +173,7 @@ class Course:
             for place, x in enumerate(mine[:-1]):
                 self.where[x] = (len(self.runs), place)
             self.runs.append((np.array(mine), np.array([by[x]["t"] for x in mine])))
+            self.opened[b] = tuple(by[b]["entry"])
 
     def from_start(self, block: int, mark: str | None) -> int:
         """First row of a following block's first key whose mark is another than this one."""
@@ -174,8 +183,9 @@ class Course:
 
 def _outliving(rows: DataFrame, course: Course) -> DataFrame:
     """All rows of keys in the blocks from which they go on: the entry open at the block's end if the row's own is written; and of entries that are open then, what they ask."""
-    where, follows, after = course.where, course.follows, course.after
-    begun = {int(r[0][0]) for r in course.runs}
+    follows, after = course.follows, course.after
+    begun = {int(blocks[0]) for blocks, _ in course.runs}
+    where = {b for b, (run, _) in course.where.items() if len(course.runs[run][0]) > 2}
 
     def run(batches):
         for number, table in _blocks(batches):
@@ -264,8 +274,21 @@ def _answered(rows: DataFrame, asks: DataFrame, course: Course) -> DataFrame:
 
 def _carried(rows: DataFrame, course: Course) -> dict[int, tuple]:
     """The entry open at the start of each block whose first key began in an earlier one."""
-    if not course.follows:
-        return {}
+    by = dict(course.opened)
+    if any(len(blocks) > 2 for blocks, _ in course.runs):
+        by |= _open_at_ends(rows, course)
+    carried: dict[int, tuple] = {}
+    for blocks, _ in course.runs:
+        open_ = None
+        for b in blocks.tolist():
+            if open_ is not None:
+                carried[b] = open_
+            open_ = by.get(b, open_) if b != blocks[-1] else None
+    return carried
+
+
+def _open_at_ends(rows: DataFrame, course: Course) -> dict[int, tuple]:
+    """By block of the keys of more than two: the entry written there that is open at its end, if there is one."""
     nodes = _outliving(rows, course)
     answers = _answered(rows, _asked(nodes, course).checkpoint(), course)
     ends = nodes.where("out").select("id", F.col("known").alias("found")).unionByName(answers).groupBy("id").agg(F.min("found").alias("found"))
@@ -276,15 +299,7 @@ def _carried(rows: DataFrame, course: Course) -> dict[int, tuple]:
         reached = reached.unionByName(reached.join(jumps, "from").select(F.col("to").alias("from"))).distinct().checkpoint()
         jumps = jumps.join(jumps.select(F.col("from").alias("to"), F.col("to").alias("then")), "to").select("from", F.col("then").alias("to")).checkpoint()
     on_chain = nodes.join(reached.select(F.col("from").alias("id")), "id").select("block", "t", "keep", "check", "mark", "always").collect()  # one a block at most
-    by = {r["block"]: tuple(r)[1:] for r in on_chain}
-    carried: dict[int, tuple] = {}
-    for blocks, _ in course.runs:
-        open_ = None
-        for b in blocks.tolist():
-            if open_ is not None:
-                carried[b] = open_
-            open_ = by.get(b, open_) if b != blocks[-1] else None
-    return carried
+    return {r["block"]: tuple(r)[1:] for r in on_chain}
 
 
 def found(rows: DataFrame, key: str, ts: str, order: str, keep: Column, check: Column | None = None, mark: Column | None = None, always: Column | None = None, out: str = "outcome", block: int = BLOCK) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from riskloom import config
 from riskloom.operators import history
 
-BUCKETS = 64
+BUCKETS = 16
 
 
 def bucket(key: Column, buckets: int = BUCKETS) -> Column:
@@ -48,10 +48,15 @@ def _next(spark: SparkSession, path: str) -> int:
 def put(entries: DataFrame, path: str) -> int:
     """Adds entries as ``history.stamped`` makes them; the folder's number."""
     spark, n = entries.sparkSession, _next(entries.sparkSession, path)
-    entries.withColumn("bucket", bucket(F.col("cache_key"))).write.partitionBy("bucket").parquet(f"{path}/delta-{n}")
+    _write(entries, f"{path}/delta-{n}")
     return n
 
 
+def _write(entries: DataFrame, path: str) -> None:
+    """A bucket's rows are brought together, and split again where they are many, so that files are few and tasks even."""
+    entries.withColumn("bucket", bucket(F.col("cache_key"))).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+
+
 def invalidate(keys: DataFrame, path: str, ts: str, order: str) -> int:
     """Entries without content for these keys (``cache_key``, ``ts``, ``order``); a later look-up misses until something is written."""
     nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("verdict", "string"), ("cache_version", "int"))]
@@ -93,7 +98,7 @@ def compact(spark: SparkSession, path: str, ts: str, order: str, now: str) -> in
     age = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
     last = history.last_entries(rows, "cache_key", ts, order, now).where(age < max(config.TTL_SECONDS.values()) * 1_000_000)
     last = last.unionByName(rows.where(F.col(ts) > F.lit(now).cast("timestamp")))
-    last.withColumn("bucket", bucket(F.col("cache_key"))).write.partitionBy("bucket").parquet(f"{path}/base-{n}")
+    _write(last, f"{path}/base-{n}")
     found, fs = _folders(spark, path), _files(spark, path)[0]
     for kind, numbers in found.items():
         for k in numbers:
