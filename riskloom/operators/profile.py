@@ -129,3 +129,12 @@ def metrics(df: DataFrame, label: Column, score: Column, threshold: float = 0.5)
 def coverage(df: DataFrame, filled: dict[str, str], true: list[str]) -> DataFrame:
     """Rows, rows where a text is neither null nor empty (by result name), and rows where a flag is true, in one aggregation."""
     return df.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.length(F.col(c)) > 0).alias(k) for k, c in filled.items()], *[F.count_if(F.col(c)).alias(c) for c in true])
+
+
+def summary(rows: DataFrame, columns: list[str], sets: list[list[str]]) -> DataFrame:
+    """A20 as one table: how many rows each combination of each set of columns has, and its share of all; ``level`` tells the sets apart (a bit for each
+    column left out, the last column's the lowest), so a null value isn't taken for a column left out.  One pass, combined before the shuffle."""
+    grouped = rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns])
+    counts = grouped.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"))
+    total = rows.agg(F.count(F.lit(1)).alias("__all"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select("level", *columns, "n", F.round(F.col("n") / F.col("__all"), 4).alias("share"))

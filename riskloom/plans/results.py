@@ -225,6 +225,18 @@ def C8_lookup_due(spark, sf_dir):
     return history.lookup_due(_history(spark, sf_dir), "user_id", "ts", "event_id").select("event_id", "lookup")
 
 
+_SETS = (("lang", "source", "quality"), ("lang", "source"), ("lang",), ("quality",), ())
+
+
+@query(f"""SELECT GROUPING(lang, source, quality)::BIGINT AS level, lang, source, quality, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM documents), 4) AS share
+FROM (SELECT d.doc_id, lang, source, quality FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)) GROUP BY GROUPING SETS ({", ".join("(" + ", ".join(s) + ")" for s in _SETS)})""")
+def A20_summary(spark, sf_dir):
+    """Language, source and label together, each with its share; unlabelled documents count as a group of their own."""
+    known = _load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = _load(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(known, "doc_id", "left")
+    return profile.summary(rows, ["lang", "source", "quality"], [list(s) for s in _SETS])
+
+
 def K6_extra_trees(spark, sf_dir):
     """Extra trees over shapes of the documents' texts, fitted on four of five labelled rows and applied to all of them; tests hold the fit against a plain version."""
     t = F.coalesce("text", F.lit(""))

@@ -62,6 +62,17 @@ def test_nearest_vectors_in_blocks(spark, monkeypatch):
     assert {x.similarity for x in got if x.i >= 40} == {0.0} and len(got) == 3 * len(rows)
 
 
+def test_repeated_ids_are_rows_of_their_own_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, None)], "i long, v array<double>")
+    known = spark.createDataFrame([("a", [1.0, 0.1]), ("b", [0.1, 1.0]), ("c", [-1.0, 0.0])], "name string, w array<double>")
+    want = None
+    for block in (1024, 2, 1):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        got = sorted((x.i, x.name, round(x.similarity, 9), x.place) for x in vectors.nearest(rows, "i", "v", known, "name", "w", 2).collect())
+        assert len(got) == 8 and (want is None or got == want)
+        want = got
+
+
 def test_smaller_operators(spark):
     rows = spark.createDataFrame([("com",), ("zz",)], "tld string")
     assert {x.tld: x.risk for x in urls.with_suffix_risk(rows, "tld", spark.createDataFrame([("com", 0.1), ("tk", 1.0)], "tld string, risk double")).collect()} == {"com": 0.1, "zz": 1.0}
