@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Rows of an Arrow batch at most; texts make batches large, and each task holds two.
@@ -28,10 +32,17 @@ def folder(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of jobs that nothing refers to any more; it notices that only when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def put(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet under a fresh name and returns it as read back."""
     spark = df.sparkSession
     lean(spark)
+    tidy(spark)
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
@@ -61,6 +72,31 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+#: Bits of a sieve at most (4 MB).
+SIEVE_BITS = 1 << 25
+
+
+def sieve(rows: DataFrame, column: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose ``column`` may be among the ids: a filter in front of a join, so that of a large table only what the join needs is shuffled.
+
+    A bit map of hashes goes to all tasks, 16 bits an id and SIEVE_BITS at most, whatever the number of ids: with more of them it lets more rows
+    pass, never fewer than the join needs.
+    """
+    count = ids.count()
+    bits = min(SIEVE_BITS, 1 << max(16, (16 * count).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    at = ids.select(place(F.col(id_col).cast("long")).alias("at"))
+    words = at.groupBy(F.shiftrightunsigned("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 31 AS INT))")).alias("bits")).toArrow()
+    held = np.zeros(bits >> 5, np.uint32)
+    held[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+
+    def run(at: pa.Array) -> pa.Array:
+        x = at.fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.array((held[x >> 5] >> (x & 31).astype(np.uint32)) & 1 == 1)
+
+    return rows.where(F.arrow_udf(run, "boolean")(place(F.col(column).cast("long"))))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

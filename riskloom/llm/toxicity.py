@@ -1,6 +1,6 @@
 """Toxicity by a bag of subwords: embeddings of words and of their character n-grams, averaged over a text, into a linear softmax.
 
-Words are runs of letters, digits and the marks that stand in for letters (``@ $ *``), lower-cased; a word counts as itself and as its
+Words are runs of letters, digits, characters beyond the first 65535 and the marks that stand in for letters (``@ $ *``), lower-cased; a word counts as itself and as its
 n-grams of 3 to 5 characters, its ends marked, so a misspelling no text has shown before still has most of its vector from words
 that were.  Embeddings and softmax are trained together in numpy, on labelled rows only, by Adam over the log loss.  A subword has a
 vector if its presence goes with the label beyond what chance gives the likeliest of all subwords tried (and LEAST_ROWS texts hold it); the

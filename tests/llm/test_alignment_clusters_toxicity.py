@@ -141,7 +141,7 @@ def test_clusters_match_their_sql(spark):
 
 def plain_subwords(t):
     out = []
-    for w in "".join(c if c.isalnum() or c in "@$*" else " " for c in t.lower()).split(" "):
+    for w in "".join(c if c.isalnum() or c in "@$*" or ord(c) >= 0xFFFF else " " for c in t.lower()).split(" "):
         if w:
             out.append(("word", w))
             m = "<" + w + ">"
@@ -199,7 +199,7 @@ def test_misspelt_words_share_vectors(spark):
             w.insert(r.randrange(len(w)), r.choice(["pathetic", "worthless", "scumbag"]))
         rows.append((i, " ".join(w)))
         marks.append((i, y))
-    rows += [(1000, " ".join(prose() + ["pathetiic"])), (1001, " ".join(prose()[:30] + ["worthles", "w0rthless"])), (1002, " ".join(prose())), (1003, None), (1004, ""), (1005, "pathetic"), (1000, "path"), (None, "x")]
+    rows += [(1000, " ".join(prose()[:20] + ["pathetiic"])), (1001, " ".join(prose()[:20] + ["worthles", "w0rthless"])), (1002, " ".join(prose())), (1003, None), (1004, ""), (1005, "pathetic"), (1000, "path"), (None, "x")]
     docs = spark.createDataFrame([(i, t, 5.0) for i, t in rows], "doc_id long, text string, score double")
     bag = toxicity.learn(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
     got = toxicity.score_toxicity(docs, bag).collect()
