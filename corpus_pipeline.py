@@ -76,7 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", keep_quality), ("near_dedup", keep_one_of_each), ("decontaminate", drop_contaminated), ("secrets", redact_secrets), ("mix", mix_sources)]
-#: Not expressible in SQL: a trained model, minima and draws; tests/llm holds each stage against a brute-force version.
+#: Not expressible in SQL: a trained model, minima and draws; tests/llm holds near_dedup and the operators of the other stages against plain versions.
 ORACLE_SQL = None
 
 
